@@ -7,9 +7,14 @@ import shutil
 import tempfile
 import uuid
 
+import sparkloom
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Functions that run in Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sparkloom)
+
 _OWN: list[str] = []
 
 

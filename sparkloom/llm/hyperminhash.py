@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,10 +56,14 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(1)
+_MEMO: dict = {}
+
+
 def _donors() -> np.ndarray:
-    at = np.arange(REGISTERS * 4096, dtype=np.uint64)
-    return (_mixed(at * _C1 + _C2) % np.uint64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 4096)
+    if "donors" not in _MEMO:
+        at = np.arange(REGISTERS * 4096, dtype=np.uint64)
+        _MEMO["donors"] = (_mixed(at * _C1 + _C2) % np.uint64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 4096)
+    return _MEMO["donors"]
 
 
 def densified(regs: np.ndarray) -> np.ndarray:
@@ -86,14 +89,16 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return _mixed(packed ^ (np.arange(1, len(packed) + 1, dtype=np.uint64) * _C1)).view(np.int64)
 
 
-@lru_cache(4096)
 def _chance(a: int, b: int) -> float:
     """The probability that registers of different values agree; a, b: quarters of the log2 of the elements a register has."""
+    if (a, b) in _MEMO:
+        return _MEMO[a, b]
     la, lb = 2.0 ** (a / 4), 2.0 ** (b / 4)
     zeros = np.arange(0, 40, dtype=np.float64)[:, None]
     low = 2.0 ** -(zeros + 1) * (1 + np.arange(2**MANTISSA) / 2**MANTISSA)
     high = low + 2.0 ** -(zeros + 1) / 2**MANTISSA
-    return float(((np.exp(-la * low) - np.exp(-la * high)) * (np.exp(-lb * low) - np.exp(-lb * high))).sum() / (-np.expm1(-la) * -np.expm1(-lb)))
+    _MEMO[a, b] = float(((np.exp(-la * low) - np.exp(-la * high)) * (np.exp(-lb * low) - np.exp(-lb * high))).sum() / (-np.expm1(-la) * -np.expm1(-lb)))
+    return _MEMO[a, b]
 
 
 def estimate(equal: np.ndarray, union: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
