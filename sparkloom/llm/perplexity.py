@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hashed
 from .common import small_batches, stage
 
 ORDER = 5
@@ -24,11 +25,6 @@ BELOW, ABOVE = 10.0, 10.0
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return x ^ (x >> np.uint64(27))
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
@@ -98,21 +94,6 @@ def kneser_ney(counts: DataFrame, keep: int = MODEL_GRAMS) -> tuple[DataFrame, D
     return alpha.select("lang", "gram", "alpha"), gamma
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, and each text's length."""
-    joined = "".join(texts)
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.array([len(t) for t in texts], np.int64)
-
-
-def _keys(lang: np.ndarray, points: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams of ``size`` points that end before ``end``."""
-    out = _mix(lang + size.astype(np.uint64) * _C)
-    for back in range(ORDER, 0, -1):
-        at = np.maximum(end - back, 0)
-        out = np.where(back <= size, _mix(out ^ (points[at] + np.uint64(back)) * _C), out)
-    return out
-
-
 class Model:
     """Sorted arrays of n-gram hashes with their alphas, and of context hashes with their gammas."""
 
@@ -129,9 +110,9 @@ class Model:
 
     @staticmethod
     def _sorted(langs: dict[str, int], rows: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-        points, sizes = _points(rows["gram"].tolist())
+        points, sizes = hashed.points(rows["gram"].tolist())
         lang = np.array([langs[x] for x in rows["lang"]], np.uint64)
-        keys = _keys(lang, points, np.cumsum(sizes), sizes) if len(rows) else np.empty(0, np.uint64)
+        keys = hashed.keys(lang, points, np.cumsum(sizes), sizes, ORDER) if len(rows) else np.empty(0, np.uint64)
         order = np.argsort(keys)
         return keys[order], rows[value].to_numpy(np.float32)[order]
 
@@ -139,24 +120,24 @@ class Model:
     def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
         if not len(keys):
             return np.full(len(wanted), missing)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], missing)
+        at, there = hashed.find(keys, wanted)
+        return np.where(there, values[at], missing)
 
     def word_scores(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each word: the sum of the natural logs of its characters' probabilities (its end included), and their number."""
         texts = [START + w.decode("utf-8", "replace") + END for w in words]
-        points, sizes = _points(texts)
+        points, sizes = hashed.points(texts)
         place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         end = np.flatnonzero(place > 0) + 1
         depth = np.minimum(place[end - 1] + 1, ORDER)
         mark = np.uint64(self.langs.get(lang, 0))
-        whole, first, back = np.unique(_keys(np.full(len(end), mark), points, end, depth), return_index=True, return_inverse=True)
+        whole, first, back = np.unique(hashed.keys(np.full(len(end), mark), points, end, depth, ORDER), return_index=True, return_inverse=True)
         end_, depth_ = end[first], depth[first]
         own = np.full(len(whole), mark)
         p = np.full(len(whole), 1 / 1024)
         for k in range(1, ORDER + 1):
             now = np.minimum(k, depth_)
-            better = self._find(self.a, self.alpha, _keys(own, points, end_, now), 0.0) + self._find(self.g, self.gamma, _keys(own, points, end_ - 1, now - 1), 1.0) * p
+            better = self._find(self.a, self.alpha, hashed.keys(own, points, end_, now, ORDER), 0.0) + self._find(self.g, self.gamma, hashed.keys(own, points, end_ - 1, now - 1, ORDER), 1.0) * p
             p = np.where(k <= depth_, better, p)
         logs = np.zeros(len(points))
         logs[end - 1] = np.log(np.maximum(p, 1e-12))[back.reshape(-1)]
@@ -170,7 +151,7 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     n = len(ids) - window + 1
     key = np.zeros(n, np.uint64)
     for k in range(window):
-        key = _mix((key + ids[k : k + n]) * _C)
+        key = hashed.mix((key + ids[k : k + n]) * _C)
     _, back, many = np.unique(key, return_inverse=True, return_counts=True)
     edge = np.zeros(len(ids) + 1, np.int64)
     hit = np.flatnonzero(many[back.reshape(-1)] > 1)
