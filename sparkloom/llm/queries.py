@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperminhash, langid, packing, perplexity, recipes, shards, url_rules
+from . import html_tree, hyperminhash, langid, packing, perplexity, recipes, shards, url_rules
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -18,6 +18,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.language_id(docs, train_on=F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
@@ -45,4 +49,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op3_language_id, op4_url_filters, op5_sharding, op6_quality_rules, op8_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_language_id, op4_url_filters, op5_sharding, op6_quality_rules, op8_packing, op10_exact_dedup)}
