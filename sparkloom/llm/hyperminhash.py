@@ -18,8 +18,8 @@ SHINGLE, PERCENT = 5, 75
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Pairs whose estimate is this many standard deviations below the threshold are not verified (about 1 link in 300,000).
 DEVIATIONS = 4.5
-#: Members of a bucket that one task compares; larger buckets are compared in pairs of blocks of this size.
-BLOCK = 2048
+#: Members of a bucket, and elements of their sets, that one task compares; larger buckets are compared in pairs of blocks.
+BLOCK, BLOCK_ELEMENTS = 2048, 1_000_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -153,66 +153,88 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return near.mapInPandas(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose full shingle sets have 100 * intersection >= percent * union.
+def sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rep, elements (the sorted hashes, 8 bytes each) of the rows of ``docs`` whose id is in ``ids``.rep."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text")).join(ids, "rep", "left_semi")
 
-    The texts meet as two rows for each pair, streamed in the order of the pairs; a task holds one pair.
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"rep": rows["rep"], "elements": [shingle_set(x).tobytes() for x in rows["_text"]]})
+
+    return texts.mapInPandas(made, "rep long, elements binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of sorted distinct elements."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose full sets are similar.
+
+    The sets meet as two rows for each pair, streamed in the order of the pairs; a task holds one pair.
     """
-    sides = pairs.select(F.col("a").alias("_id"), "a", "b").unionByName(pairs.select(F.col("b").alias("_id"), "a", "b"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    met = texts.join(sides, "_id").repartition("a", "b").sortWithinPartitions("a", "b", "_id")
+    sides = pairs.select(F.col("a").alias("rep"), "a", "b").unionByName(pairs.select(F.col("b").alias("rep"), "a", "b"))
+    met = sets.join(sides, "rep").repartition("a", "b").sortWithinPartitions("a", "b", "rep")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair, sets = None, {}
+        pair, own = None, {}
 
         def linked() -> bool:
-            if pair is None or len(sets) < 2:
-                return False
-            x, y = (sets[k] for k in pair)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
+            return len(own) == 2 and similar(*own.values(), percent)
 
         for rows in batches:
             out = []
-            for ident, text, a, b in zip(rows["_id"], rows["_text"], rows["a"], rows["b"], strict=True):
+            for rep, elements, a, b in zip(rows["rep"], rows["elements"], rows["a"], rows["b"], strict=True):
                 if (a, b) != pair:
                     if linked():
                         out.append(pair)
-                    pair, sets = (a, b), {}
-                if ident not in sets:
-                    sets[ident] = shingle_set(text)
+                    pair, own = (a, b), {}
+                own[rep] = np.frombuffer(elements, np.uint64)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         if linked():
             yield pd.DataFrame([pair], columns=["a", "b"], dtype="int64")
 
-    return met.select("_id", "_text", "a", "b").mapInPandas(confirm, "a long, b long")
+    return met.select("rep", "elements", "a", "b").mapInPandas(confirm, "a long, b long")
 
 
-def apart(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket with different labels whose registers leave a link possible.
+def links_between(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a bucket, confirmed on the full sets.
 
-    ``members``: key, pivot, size, rep, label, n, regs. A bucket above BLOCK members is compared in pairs of blocks.
+    ``members``: key, size, total, rep, label, n, regs, bands, elements. A bucket above BLOCK members or BLOCK_ELEMENTS
+    elements is compared in pairs of blocks. A pair is looked at in the first band it shares; labels that a link has
+    joined aren't compared again, so a block gives fewer links than it has rows.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "pivot", "rep", "label", "n", "regs")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
+    spread = members.withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "label", "n", "regs", "bands", "elements")
     group = ["key", "_i", "_j"]
 
     def compare(got: list[pd.DataFrame]) -> Iterator[tuple[int, int]]:
         rows = pd.concat(got) if len(got) > 1 else got[0]
-        if rows["label"].nunique() < 2:
+        names, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        if len(names) < 2:
             return
-        regs, rep, label, n, own, pivot = _regs(rows["regs"]), *(rows[c].to_numpy() for c in ("rep", "label", "n", "_own", "pivot"))
-        across = rows["_i"].iloc[0] != rows["_j"].iloc[0]
-        for k in range(len(rep) - 1):
-            rest = np.arange(k + 1, len(rep))
-            rest = rest[(label[rest] != label[k]) & (rep[rest] != pivot[k]) & (rep[k] != pivot[k])]
+        rep, n, own = (rows[c].to_numpy() for c in ("rep", "n", "_own"))
+        regs, bands, elements = _regs(rows["regs"]), np.stack(rows["bands"].to_numpy()), [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+        key, across = rows["key"].iloc[0], rows["_i"].iloc[0] != rows["_j"].iloc[0]
+        order = np.argsort(-np.bincount(label)[label], kind="stable")  # the largest component first: others are compared with it
+        for place, k in enumerate(order):
+            rest = order[:place]
+            rest = rest[label[rest] != label[k]]
             if across:
                 rest = rest[own[rest] != own[k]]
+            if not len(rest):
+                continue
+            same = bands[rest] == bands[k]
+            rest = rest[same.argmax(1) == np.flatnonzero(bands[k] == key)[0]]
             if len(rest):
-                for other in rest[may_link(regs[[k]], regs[rest], np.full(len(rest), n[k]), n[rest], percent)]:
+                rest = rest[may_link(regs[[k]], regs[rest], np.full(len(rest), n[k]), n[rest], percent)]
+            for other in rest:
+                if label[other] != label[k] and similar(elements[k], elements[other], percent):
                     yield min(rep[k], rep[other]), max(rep[k], rep[other])
+                    label[label == label[k]] = label[other]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_, at = [], None
@@ -228,7 +250,7 @@ def apart(members: DataFrame, percent: int) -> DataFrame:
         if open_:
             yield pd.DataFrame([*compare(open_)], columns=["a", "b"], dtype="int64")
 
-    return spread.repartition(*group).sortWithinPartitions(*group).mapInPandas(stream, "a long, b long").distinct()
+    return spread.repartition(*group).sortWithinPartitions(*group).mapInPandas(stream, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -240,9 +262,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Rows with equal sets are one class, whose smallest id stands for it.
     2. Classes meet in buckets of banded HyperMinHash registers. Each is paired with its bucket's smallest; pairs that the
        collision-corrected estimate leaves possible are verified on the full sets; linked ones become components.
-    3. In buckets that still hold several components, the remaining pairs of different components are estimated block by
-       block and the possible ones verified. So a bucket of thousands of copies costs its length, not its square, and no
-       link between components that met in any bucket is lost.
+    3. In buckets that still hold several components, members of different components are compared block by block, by
+       estimate and then on the full sets, and only links that join components leave the task. So copies that step 2 has
+       joined aren't compared again, and no link between components that met in any bucket is lost.
 
     Returns doc_id, n_shingles, component_id, kept. Rows with one id and different texts count as linked; repeated rows are
     returned each. Null ids are returned, never chosen. An empty table gives an empty result; other columns are ignored.
@@ -252,23 +274,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     feats = stage(features(docs, id_col, text_col), "features")
     classes = feats.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = stage(feats.filter("n > 0").join(classes.select("f1", "f2", "rep"), [feats.doc_id == F.col("rep"), feats.f1 == classes.f1, feats.f2 == classes.f2]).select("rep", "n", "regs", "bands").dropDuplicates(["rep"]), "reps")
-    bands = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = stage(bands.join(shared, "key"), "buckets")
+    bands = reps.select(F.explode("bands").alias("key"), "rep", "n")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
+    buckets = stage(bands.drop("n").join(shared, "key"), "buckets")
     star = buckets.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    possible = stage(estimated(star, reps, percent), "possible")
-    links = stage(verified(possible, docs, id_col, text_col, percent), "links")
+    sets = stage(sets_of(buckets.select("rep").distinct(), docs, id_col, text_col), "sets")
+    links = stage(verified(estimated(star, reps, percent), sets, percent), "links")
     found = stage(components(links), "components")
     large = buckets.filter("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = large.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo != _hi").select("key")
-    members = large.join(open_, "key").join(reps.select("rep", "n", "regs"), "rep")
-    more = stage(apart(members, percent), "apart")
+    members = large.join(open_, "key", "left_semi").join(reps, "rep").join(sets, "rep")
+    more = stage(links_between(members, percent), "between")
     if not more.isEmpty():
-        late = stage(verified(more, docs, id_col, text_col, percent), "late")
-        if not late.isEmpty():
-            found = stage(components(links.unionByName(late)), "components")
-        release(late)
-    release(buckets, possible, links, more)
+        found = stage(components(links.unionByName(more)), "components")
+    release(buckets, links, more, sets)
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("label", "rep").alias("_component"))
     out = feats.select("doc_id", "n", "f1", "f2").join(whole, ["f1", "f2"], "left")
     component = F.coalesce("_component", "doc_id")
