@@ -1,25 +1,61 @@
-"""A training corpus in stages; each reads what the one before it wrote."""
+"""A training corpus in stages; each reads what the one before it wrote.
+
+All stages but the last return the columns of ``documents``. Rows with a null doc_id can't be told apart and leave in the
+first stage. Rows that repeat an id are judged alike; exact dedup leaves one of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import packing
+from sparkloom.llm import hyperminhash, mixing, packing, perplexity, recipes
 from sparkloom.llm.common import stage
+from sparkloom.llm.queries import MIX, labelled_domains
+
+
+def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(kept.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose perplexity lies in their language's band."""
+    return _chosen(docs, perplexity.quality(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    found = recipes.exact_dedup(docs)
+    out = _chosen(docs, found)
+    repeated = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, that with the smallest id."""
+    return _chosen(docs, hyperminhash.near_dedup(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document, none or one, as the target weights of the domains ask for."""
+    labels = labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    copies = mixing.mixed(docs, labels, MIX, anchor="good", max_rate=1.0).filter("copies > 0").select("doc_id", "copies")
+    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of 2,048."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", packed)]
 
-#: SQL can't express the language model, near-duplicate and mixing stages; tests compare with brute force instead.
+#: SQL can't express the language model, near-duplicate and mixing stages; tests compare them with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ from .common import small_batches, stage
 
 LONGEST = 5
 #: The model keeps at most this many words and this many n-grams, the most frequent ones by whole counts.
-MODEL_WORDS = MODEL_GRAMS = 200_000
+MODEL_WORDS = MODEL_GRAMS = 100_000
 #: A word that isn't in the model says less about the language than one that is.
 UNSEEN_WEIGHT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -72,7 +72,7 @@ def most_frequent(counts: DataFrame, keep: int) -> pd.DataFrame:
         if kept > keep:
             least = row["total"] + 1
             break
-    return counts.join(totals.filter(F.col("total") >= least).select("word"), "word").select("lang", "word", "n").toPandas()
+    return counts.join(totals.filter(F.col("total") >= least).select("word"), "word").select("lang", "word", "n").toArrow().to_pandas()
 
 
 def log_table(rows: pd.DataFrame, langs: list[str], totals: np.ndarray) -> tuple[list[str], np.ndarray]:

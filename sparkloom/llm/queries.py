@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_tree, hyperminhash, langid, packing, perplexity, recipes, shards, url_rules
+from . import html_tree, hyperminhash, langid, licenses, mixing, packing, perplexity, recipes, shards, url_rules
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -40,6 +40,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"))
 
 
+#: The domains' shares of the words of a mix. Toxic documents are wanted not at all; good ones as they are.
+MIX = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), MIX, anchor="good", max_rate=1.0)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,4 +66,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_language_id, op4_url_filters, op5_sharding, op6_quality_rules, op8_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_language_id, op4_url_filters, op5_sharding, op6_quality_rules, op7_source_mixing, op8_packing, op9_license_scan, op10_exact_dedup)}

@@ -22,3 +22,29 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
 """
+
+
+def _license_sql() -> str:
+    from .licenses import RULES, SENTENCES
+
+    sentences = ", ".join(f"('{name}', '{value}')" for name, value in SENTENCES.items())
+    rules = ", ".join(f"('{name}', ',{','.join(ids)},')" for name, ids in RULES)
+    longest = 2 * max(map(len, SENTENCES.values()))
+    ends = r"regexp_replace({0}, '([.!?;:])[ \t\r\f]+', '\1' || chr(10), 'g')"
+    normal = "trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    return f"""
+WITH known(name, sentence) AS (VALUES {sentences}),
+rules(licence, ids) AS (VALUES {rules}),
+texts AS (SELECT doc_id, 0 AS reading, coalesce(text, '') AS t FROM documents
+          UNION ALL SELECT doc_id, 1, regexp_replace(coalesce(text, ''), '[ \\t\\r\\n\\f]+', ' ', 'g') FROM documents),
+parts AS (SELECT doc_id, reading, unnest(string_split({ends.format('t')}, chr(10))) AS s, generate_subscripts(string_split({ends.format('t')}, chr(10)), 1) AS place FROM texts),
+found AS (SELECT p.doc_id, p.reading, p.place, k.name FROM (SELECT doc_id, reading, place, {normal} AS n FROM parts WHERE length(s) BETWEEN 3 AND {longest}) p JOIN known k ON p.n = k.sentence),
+readings AS (SELECT doc_id, reading, string_agg(name, ',' ORDER BY place) AS ids, count(*) AS n FROM found GROUP BY doc_id, reading),
+best AS (SELECT doc_id, ids, n FROM readings QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, reading) = 1),
+fits AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses FROM best JOIN rules r ON contains(',' || best.ids || ',', r.ids) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(b.ids, '') AS sentence_ids, coalesce(b.n, 0) AS n_sentences, coalesce(f.licenses, '') AS licenses
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN fits f ON d.doc_id = f.doc_id
+"""
+
+
+ORACLE_SQL["op9_license_scan"] = _license_sql()
