@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from .common import small_batches, stage
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: The model keeps at most this many n-grams (the most frequent ones, whole counts at a time): 16 MB of arrays.
-MODEL_GRAMS = 1 << 20
+#: The model keeps at most this many n-grams (the most frequent ones, whole counts at a time): 12 MB of arrays.
+MODEL_GRAMS = 1 << 19
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A language's band of log perplexity: its median less and plus so many spreads. A spread is the distance of the quartile
@@ -38,21 +39,22 @@ def gram_counts(docs: DataFrame, lang: str = "_lang", text: str = "_text") -> Da
         def flush() -> pd.DataFrame:
             out = []
             for name, words in seen.items():
-                grams: Counter = Counter()
-                for word, n in words.items():
-                    own = START + word.decode("utf-8", "replace") + END
-                    for k in range(2, min(ORDER, len(own))):
-                        grams[own[:k]] += n
-                    for k in range(max(1, len(own) - ORDER + 1)):
-                        grams[own[k : k + ORDER]] += n
-                out += [(name, g, n) for g, n in grams.items()]
+                texts = [START + w.decode("utf-8", "replace") + END for w in words]
+                codes, sizes = hashed.points(texts)
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                end = np.flatnonzero(place > 0) + 1
+                depth = np.minimum(place[end - 1] + 1, ORDER)
+                _, first, back = np.unique(hashed.keys(np.zeros(len(end), np.uint64), codes, end, depth, ORDER), return_index=True, return_inverse=True)
+                n = np.bincount(back.reshape(-1), np.repeat(np.fromiter(words.values(), float, len(words)), sizes - 1)).astype(np.int64)
+                joined = "".join(texts)
+                out.append(pd.DataFrame({"lang": name, "gram": [joined[e - d : e] for e, d in zip(end[first], depth[first], strict=True)], "n": n}))
             seen.clear()
-            return pd.DataFrame(out, columns=["lang", "gram", "n"])
+            return pd.concat(out) if out else pd.DataFrame({"lang": [], "gram": [], "n": []}).astype({"lang": str, "gram": str, "n": int})
 
         for rows in batches:
             for name, value in zip(rows[lang], rows[text], strict=True):
                 seen.setdefault(name, Counter()).update(words_of(value))
-            if sum(map(len, seen.values())) > 200_000:
+            if sum(map(len, seen.values())) > 300_000:
                 yield flush()
         yield flush()
 
@@ -94,27 +96,18 @@ def kneser_ney(counts: DataFrame, keep: int = MODEL_GRAMS) -> tuple[DataFrame, D
     return alpha.select("lang", "gram", "alpha"), gamma
 
 
+def seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang))
+
+
 class Model:
     """Sorted arrays of n-gram hashes with their alphas, and of context hashes with their gammas."""
 
-    def __init__(self, langs: dict[str, int], a: np.ndarray, alpha: np.ndarray, g: np.ndarray, gamma: np.ndarray) -> None:
-        self.langs, self.a, self.alpha, self.g, self.gamma = langs, a, alpha, g, gamma
-
-    @classmethod
-    def of(cls, alpha: pd.DataFrame, gamma: pd.DataFrame) -> Model:
-        langs = {name: k + 1 for k, name in enumerate(sorted(set(alpha["lang"])))}
-        return cls(langs, *cls._sorted(langs, alpha, "alpha"), *cls._sorted(langs, gamma, "gamma"))
+    def __init__(self, a: np.ndarray, alpha: np.ndarray, g: np.ndarray, gamma: np.ndarray) -> None:
+        self.a, self.alpha, self.g, self.gamma = a, alpha, g, gamma
 
     def arrays(self) -> tuple:
-        return self.langs, self.a, self.alpha, self.g, self.gamma
-
-    @staticmethod
-    def _sorted(langs: dict[str, int], rows: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-        points, sizes = hashed.points(rows["gram"].tolist())
-        lang = np.array([langs[x] for x in rows["lang"]], np.uint64)
-        keys = hashed.keys(lang, points, np.cumsum(sizes), sizes, ORDER) if len(rows) else np.empty(0, np.uint64)
-        order = np.argsort(keys)
-        return keys[order], rows[value].to_numpy(np.float32)[order]
+        return self.a, self.alpha, self.g, self.gamma
 
     @staticmethod
     def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
@@ -130,7 +123,7 @@ class Model:
         place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         end = np.flatnonzero(place > 0) + 1
         depth = np.minimum(place[end - 1] + 1, ORDER)
-        mark = np.uint64(self.langs.get(lang, 0))
+        mark = seed(lang)
         whole, first, back = np.unique(hashed.keys(np.full(len(end), mark), points, end, depth, ORDER), return_index=True, return_inverse=True)
         end_, depth_ = end[first], depth[first]
         own = np.full(len(whole), mark)
@@ -194,9 +187,26 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInPandas(score, f"_id {dict(docs.dtypes)['_id']}, lang string, {COLUMNS}")
 
 
+def sorted_arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of (lang, gram), made by the tasks and sorted, with their values."""
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            if len(own):
+                points, sizes = hashed.points(own["gram"].tolist())
+                seeds = {name: seed(name) for name in own["lang"].unique()}
+                keys = hashed.keys(np.array([seeds[x] for x in own["lang"]], np.uint64), points, np.cumsum(sizes), sizes, ORDER)
+                yield pd.DataFrame({"key": keys.view(np.int64), "value": own[value].astype(np.float32)})
+
+    table = rows.mapInPandas(hashes, "key long, value float").toArrow()
+    keys = table["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table["value"].to_numpy()[order]
+
+
 def train(docs: DataFrame) -> Model:
     alpha, gamma = kneser_ney(stage(gram_counts(docs), "counts"))
-    return Model.of(alpha.toPandas(), gamma.toPandas())
+    return Model(*sorted_arrays(alpha, "alpha"), *sorted_arrays(gamma, "gamma"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
