@@ -38,9 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    It cuts the lineage and survives the loss of executors. ``release`` removes it.
+    It cuts the lineage and survives the loss of executors. ``release`` removes it; in a mounted folder it goes at exit too.
     """
     path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -64,6 +66,11 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def join_few(df: DataFrame, few: DataFrame, on: list[str], how: str, most: int = 10_000) -> DataFrame:
+    """Join a staged table that is broadcast if it has at most ``most`` rows, else shuffled."""
+    return df.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, on, how)
+
+
 def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within each value of ``keys``, without one task per key.
 
