@@ -18,16 +18,16 @@ RARE = 0.1
 STEPS, CLOSE = 40, 1e-3
 
 
-def features(text: Column) -> Column:
-    """The distinct lower-case words of a text, and their distinct shapes (letters as ``a`` or ``A``)."""
-    words = F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))
-    shapes = F.transform(words, lambda w: F.concat(F.lit("\x01"), F.regexp_replace(F.regexp_replace(w, r"\p{Lu}+", "A"), r"[^\p{P}\p{S}\p{N}A]+", "a")))
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", "")), shapes))
+def words(text: Column) -> Column:
+    """The words of a text, parted by ASCII white space; one empty word if there are none."""
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
-def n_words(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+def buckets(own: Column) -> Column:
+    """The distinct buckets of the words (lower case, without points at their ends) and of their shapes (letters as ``a``, or ``A`` in upper case)."""
+    distinct = F.array_distinct(own)
+    shape = lambda w, low: F.concat(F.lit("\x01"), F.regexp_replace(low, r"\p{L}+", "a"), F.when((w == F.upper(w)) & (w != low), F.lit("A")).otherwise(F.lit("")))
+    return F.array_distinct(F.flatten(F.transform(distinct, lambda w: F.array(bucket(F.rtrim(F.lower(w), F.lit(".,;:!?"))), bucket(shape(w, F.lower(w)))))))
 
 
 def bucket(feature: Column) -> Column:
@@ -44,7 +44,7 @@ def weights_of(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tupl
     A weight is 0 where the bucket's share in the domain isn't surely different.
     """
     chosen = labelled.filter(F.col("domain").isin(domains) & F.col("_id").isNotNull()).orderBy(F.xxhash64("_id"), "_id", "domain").limit(LABELLED)
-    rows = docs.select("_id", "_text").join(F.broadcast(chosen), "_id").select("_id", "domain", F.array_distinct(F.transform(features(F.col("_text")), bucket)).alias("_buckets"))
+    rows = docs.select("_id", "_text").join(F.broadcast(chosen), "_id").select("_id", "domain", buckets(words(F.col("_text"))).alias("_buckets"))
     rows = stage(rows, "labelled")
     sums = rows.agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)], F.count(F.lit(1)).alias("n")).first()
     total = sums["n"] or 0
@@ -69,9 +69,11 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     """_id, _words, p_0, p_1, ...: each row's posterior of each domain."""
     table, prior = weights_of(docs, labelled, domains)
     names = [f"w_{k}" for k in range(len(domains))]
-    each = docs.select("_id", F.explode(F.array_distinct(F.transform(features(F.col("_text")), bucket))).alias("bucket"))
-    sums = each.join(F.broadcast(table), "bucket").groupBy("_id").agg(*[F.sum(w).alias(w) for w in names])
-    scored = docs.select("_id", n_words(F.col("_text")).alias("_words")).join(sums, "_id", "left")
+    marked = docs.select(F.monotonically_increasing_id().alias("_row"), "_id", words(F.col("_text")).alias("_own"))
+    count = F.when(F.element_at("_own", 1) == "", F.lit(0)).otherwise(F.size("_own"))
+    each = marked.select("_row", "_id", F.explode(F.concat(buckets(F.col("_own")), F.array((-1 - count).cast("int")))).alias("bucket"))  # a number below 0 holds the count of words
+    met = each.join(F.broadcast(table), "bucket", "left").filter(F.col("w_0").isNotNull() | (F.col("bucket") < 0))
+    scored = met.groupBy("_row", "_id").agg((-1 - F.min("bucket")).cast("long").alias("_words"), *[F.sum(w).alias(w) for w in names])
     logits = [F.coalesce(w, F.lit(0.0)) + prior[d] for w, d in zip(names, domains, strict=True)]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     scored = scored.select("_id", "_words", *[F.exp(x - top).alias(f"e_{k}") for k, x in enumerate(logits)])
@@ -109,7 +111,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ancho
     gradient least squares over all rows. A row has floor(rate + u) copies, where u in [0, 1) is a hash of its id.
 
     Returns doc_id, n_words, p_<domain>..., rate, copies. A null text is empty: it has the domains' shares as posterior and no
-    weight. Rows with one id share one posterior, and repeated rows are returned each; a null id has the shares too. An
+    weight. Repeated rows and rows with a null id are rows of their own. An
     empty table gives an empty result; labels of unknown rows or domains are ignored, as are other columns.
     """
     domains = sorted(targets)
