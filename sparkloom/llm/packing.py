@@ -63,7 +63,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, v
 def shortest_pack_first(counts: dict[int, int], max_tokens: int) -> list[tuple[int, list[int]]]:
     """(how often, lengths) patterns. Lengths come longest first; each enters the pack with the most room, else a new one.
 
-    A length splits at most one pattern and opens at most one, so there are at most twice as many patterns as lengths.
+    A new pack takes as many of the length as it holds, for it has the most room until then. A length splits at most one
+    pattern and opens at most two, so there are at most three times as many patterns as lengths.
     """
     by_room: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     for length in sorted(counts, reverse=True):
@@ -72,7 +73,11 @@ def shortest_pack_first(counts: dict[int, int], max_tokens: int) -> list[tuple[i
         while left:
             room = max((r for r, packs in by_room.items() if packs), default=0)
             if room < length:
-                by_room[max_tokens - length].append((left, [length]))
+                many = max_tokens // length
+                if left >= many:
+                    by_room[max_tokens - many * length].append((left // many, [length] * many))
+                if left % many:
+                    by_room[max_tokens - left % many * length].append((1, [length] * (left % many)))
                 break
             often, lengths = by_room[room].pop()
             if not by_room[room]:
