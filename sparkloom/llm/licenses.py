@@ -69,7 +69,7 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("All-Rights-Reserved", ("reserved",)),
 ]
-ENDS, SPACE = r"([.!?;:])[ \t\r\f]+", r"[ \t\r\n\f]+"
+ENDS, SPACE = r"([.!?;])[ \t\r\f]+", r"[ \t\r\n\f]+"
 
 
 def normal(sentence):
@@ -87,7 +87,7 @@ def known(text, sentences: dict[str, str]):
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """Which licences the sentences of every row state.
 
-    A text is parted at line ends and after ``. ! ? ; :`` before white space; a wrapped text is also read with its line ends
+    A text is parted at line ends and after ``. ! ? ;`` before white space; a wrapped text is also read with its line ends
     as spaces, and the reading that knows more sentences counts (the first of two equal ones). Known sentences become
     identifiers; a rule fits if its identifiers follow each other in the row's sequence. No row leaves its task: the
     sentences and rules are literals of the plan.

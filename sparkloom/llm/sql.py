@@ -30,7 +30,7 @@ def _license_sql() -> str:
     sentences = ", ".join(f"('{name}', '{value}')" for name, value in SENTENCES.items())
     rules = ", ".join(f"('{name}', ',{','.join(ids)},')" for name, ids in RULES)
     longest = 2 * max(map(len, SENTENCES.values()))
-    ends = r"regexp_replace({0}, '([.!?;:])[ \t\r\f]+', '\1' || chr(10), 'g')"
+    ends = r"regexp_replace({0}, '([.!?;])[ \t\r\f]+', '\1' || chr(10), 'g')"
     normal = "trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 WITH known(name, sentence) AS (VALUES {sentences}),
