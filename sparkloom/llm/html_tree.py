@@ -32,7 +32,7 @@ HEADERS = frozenset(["header", "pageheader", "siteheader"])
 KEEP = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|(?P<text>[^<]+|<)""", re.S)
-REST = re.compile(r"(?P<text>.+)(?P<data>)(?P<tag>\b\B)?", re.S)
+REST = re.compile(r"<!--.*|(?P<text>(?:(?!<!--).)+)(?P<data>)(?P<tag>\b\B)?", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[^a-z]+")
 
