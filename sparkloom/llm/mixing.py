@@ -15,7 +15,7 @@ LABELLED, BUCKETS = 20_000, 1 << 16
 SURE = 15.0
 #: That a text lacks a bucket counts only for buckets that fewer of the rows have; whether a text has a common word depends on its length.
 RARE = 0.1
-STEPS, CLOSE = 40, 1e-3
+STEPS, CLOSE = 40, 1e-4
 
 
 def words(text: Column) -> Column:

@@ -1,0 +1,29 @@
+import random
+
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture()
+def documents(spark):
+    """rows of (id, text[, lang]) -> DataFrame with the columns of documents and some with names that operators use inside."""
+
+    def made(rows, partitions=3):
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", len(r[1] or ""), "x", 1, "y") for r in rows]
+        return spark.createDataFrame(full, DOCS + ", label string, rep int, _id string").repartition(partitions)
+
+    return made
+
+
+@pytest.fixture()
+def prose():
+    """A generator of texts over a small vocabulary."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    text.rng, text.vocabulary = rng, vocabulary
+    return text

@@ -1,0 +1,107 @@
+import re
+
+import numpy as np
+import pytest
+
+from sparkloom.llm import hyperminhash as h
+from sparkloom.llm.components import components
+
+
+def shingles(text):
+    own = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(own[k : k + 5]) for k in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)} if own else set()
+
+
+def brute(rows):
+    sets, parent = {}, {}
+    for k, text in rows:
+        sets[k] = shingles(text)
+        parent[k] = k
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {k: (len(sets[k]), root(k), root(k) == k) for k in keys}
+
+
+def test_against_brute_force(documents, prose):
+    rows, rng = [], prose.rng
+    for base in range(12):
+        words = prose(rng.choice([3, 6, 12, 60, 150])).split()
+        for _ in range(rng.randint(1, 9)):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, len(own) // 12))):
+                own[rng.randrange(len(own))] = rng.choice(prose.vocabulary)
+            rows.append((len(rows) * 7 % 101 + 101 * base, rng.choice([" ", "\n", "\t "]).join(own).title()))
+    rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "ONE"), (5005, "one two"), (5006, "\u00a0a\u00a0b c d e f")]
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in h.near_dedup(documents(rows)).collect()}
+    assert found == brute(rows)
+
+
+def test_a_chain_is_one_component(documents, prose):
+    words, rows = prose(120).split(), []
+    for k in range(9):  # neighbours are alike, the ends are not
+        rows.append((100 - k, " ".join(words)))
+        words[k * 12 : k * 12 + 5] = prose(5).split()
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in h.near_dedup(documents(rows)).collect()}
+    assert found == brute(rows) and len({v[1] for v in found.values()}) < 9
+
+
+def test_blocks_find_what_one_block_finds(documents, prose, monkeypatch):
+    words, rows, rng = prose(80).split(), [], prose.rng
+    for k in range(60):
+        own = list(words)
+        for _ in range(rng.randint(2, 7)):
+            own[rng.randrange(80)] = rng.choice(prose.vocabulary)
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(h, "BLOCK", 7)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in h.near_dedup(documents(rows)).collect()}
+    assert found == brute(rows)
+
+
+def test_empty_table_repeated_rows_and_null_ids(documents):
+    assert h.near_dedup(documents([])).count() == 0
+    rows = h.near_dedup(documents([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in rows) == [(-1, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_estimates_follow_the_similarity():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.75, 0.9):
+        seen = []
+        for _ in range(60):
+            pool = np.unique(rng.integers(0, 2**63, 1200).astype(np.uint64))
+            both = int(1000 * 2 * share / (1 + share))
+            a, b = np.sort(np.r_[pool[:both], pool[both:both + 1000 - both]]), np.sort(np.r_[pool[:both], pool[-(1000 - both):]] if both < 1000 else pool[:1000])
+            x, y = h.registers(a), h.registers(b)
+            full = (x > 0) | (y > 0)
+            real = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            seen.append(h.estimate(np.array([((x == y) & full).sum()]), np.array([full.sum()]), np.array([len(a)]), np.array([len(b)]))[0] - real)
+        assert abs(np.mean(seen)) < 0.02
+
+
+def test_densified_small_sets_agree_with_themselves():
+    one = h.shingle_set("just three words")
+    assert len(one) == 1 and (h.densified(h.registers(one)) > 0).all()
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(k, k + 1) for k in range(40)], [(1, k) for k in range(2, 50)] + [(60, 61), (61, 62), (62, 60)]])
+def test_components(spark, edges):
+    found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    reach = {}
+    for a, b in edges:
+        if a is None or b is None or a == b:
+            continue
+        group = reach.get(a, {a}) | reach.get(b, {b})
+        for x in group:
+            reach[x] = group
+    assert found == {k: min(v) for k, v in reach.items()}

@@ -1,0 +1,40 @@
+import random
+
+from sparkloom.llm import url_rules
+from sparkloom.llm.url_rules import judge_urls
+
+
+def brute(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path] or [len(path)])]
+    fits = [(len(h + p), len(h), h + p, a) for h, p, a in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[2], best[3] if best else "allow"
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(3)
+    label, path = lambda: rng.choice(["com", "net", "a", "b", "example", "www", "x-y"]), lambda: "/" + "/".join(rng.choice(["en", "fr", "e", ""]) for _ in range(rng.randint(0, 3)))
+    rules = list({(".".join(label() for _ in range(rng.randint(1, 3))), path()): rng.choice(["allow", "block"]) for _ in range(40)}.items())
+    rules = [(h, p, a) for (h, p), a in rules]
+    urls = [(k, rng.choice(["http", "https", "HTTP"]) + "://" + ".".join(label() for _ in range(rng.randint(1, 4))).upper() + path() + rng.choice(["", "?q=/x", "#t", "/"])) for k in range(400)]
+    urls += [(500, None), (501, ""), (502, "no scheme"), (503, "http://"), (504, "http:///en/"), (505, "http://com?x"), (506, "x\n://com/en/"), (507, "a://b://com/")] + urls[:20]
+    frame = spark.createDataFrame([(*u, "z") for u in urls], "page_id long, url string, host string").repartition(5)
+    found = judge_urls(frame, spark.createDataFrame(rules, "host string, path string, action string"))
+    assert sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found.collect()))) == sorted(map(str, ((k, *brute(u, rules)) for k, u in urls)))
+
+
+def test_empty_tables_and_null_rules(spark):
+    rules = spark.createDataFrame([(None, "/", "block"), ("com", None, "block")], "host string, path string, action string")
+    urls = spark.createDataFrame([(1, "http://com/")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in judge_urls(urls, rules).collect()] == [(None, "allow")]
+    assert judge_urls(urls.filter("false"), rules).count() == 0
+    assert judge_urls(urls, rules.filter("false"), default="block").first().verdict == "block"
+
+
+def test_key_reverses_hosts(spark):
+    assert spark.range(1).select(url_rules.host_key(url_rules.F.lit("www.example.com"))).first()[0] == "com\x01example\x01www\x01"
