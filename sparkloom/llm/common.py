@@ -59,8 +59,8 @@ def release(*staged: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
-    """Hold Arrow batches to a few MB, so that very long texts don't fill a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "2m") -> None:
+    """Hold Arrow batches to about 2 MB, so that very long texts don't fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -19,6 +19,8 @@ LONGEST = 5
 MODEL_WORDS = MODEL_GRAMS = 100_000
 #: A word that isn't in the model says less about the language than one that is.
 UNSEEN_WEIGHT = 0.5
+#: Words that a task holds before it hands on their counts, and looks up at once.
+CHUNK = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,7 +42,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for rows in batches:
             for lang, text in zip(rows["_lang"], rows["_text"], strict=True):
                 seen.update((lang, w) for w in words_of(text))
-            if len(seen) > 300_000:
+            if len(seen) > CHUNK:
                 yield flush()
         yield flush()
 
@@ -137,7 +139,8 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
             at = np.fromiter((known.get(w, -1) for w in vocabulary), np.int64, len(vocabulary))
             logs[at >= 0] = word_logs[at[at >= 0]]
             if langs and (at < 0).any():
-                logs[at < 0] = unseen([w for w, k in zip(vocabulary, at, strict=True) if k < 0], hashes, gram_logs)
+                new = [w for w, k in zip(vocabulary, at, strict=True) if k < 0]
+                logs[at < 0] = np.concatenate([unseen(new[k : k + CHUNK], hashes, gram_logs) for k in range(0, len(new), CHUNK)])
             out = []
             for own in ids:
                 if not len(own) or not langs:

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import small_batches, stage
+from .common import join_few, small_batches, stage
 
 ORDER = 5
 START, END = "\x02", "\x03"
 #: The model keeps at most this many n-grams (the most frequent ones, whole counts at a time): 12 MB of arrays.
 MODEL_GRAMS = 1 << 19
+#: Words that a task holds before it hands on their n-grams, and scores at once: a few tens of MB of arrays.
+CHUNK = 60_000
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A language's band of log perplexity: its median less and plus so many spreads. A spread is the distance of the quartile
@@ -54,7 +56,7 @@ def gram_counts(docs: DataFrame, lang: str = "_lang", text: str = "_text") -> Da
         for rows in batches:
             for name, value in zip(rows[lang], rows[text], strict=True):
                 seen.setdefault(name, Counter()).update(words_of(value))
-            if sum(map(len, seen.values())) > 300_000:
+            if sum(map(len, seen.values())) > CHUNK:
                 yield flush()
         yield flush()
 
@@ -175,7 +177,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 at = np.flatnonzero(langs == lang)
                 vocabulary: dict[bytes, int] = {}
                 ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(texts[k])), np.uint64) for k in at]
-                logs, sizes = own.word_scores(lang, list(vocabulary)) if vocabulary else (np.empty(0), np.empty(0))
+                listed = list(vocabulary)
+                parts = [own.word_scores(lang, listed[k : k + CHUNK]) for k in range(0, len(listed), CHUNK)]
+                logs, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0))
                 for k, mine in zip(at, ids, strict=True):
                     total = sizes[mine.astype(np.int64)].sum()
                     out[k] = (*base_counts(texts[k], mine), -logs[mine.astype(np.int64)].sum() / total if total else None)
@@ -228,11 +232,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = stage(scored(one, train(one)), "scored")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     good = rows.filter(~failed)
-    middle = good.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle"))
+    middle = stage(good.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_middle")), "middle")
     away = F.expr("(log_perplexity - _middle) * sqrt(n_words)")
-    spread = good.join(middle, "lang").groupBy("lang").agg(F.first("_middle").alias("_middle"), F.percentile_approx(away, [0.25, 0.75], 10_000).alias("q"))
+    spread = join_few(good, middle, ["lang"], "inner").groupBy("lang").agg(F.first("_middle").alias("_middle"), F.percentile_approx(away, [0.25, 0.75], 10_000).alias("q"))
     low = F.expr(f"-{BELOW} * greatest(-q[0], 0.05)")
     high = F.expr(f"{ABOVE} * greatest(q[1], 0.05)")
-    judged = rows.join(spread.select("lang", "_middle", low.alias("_low"), high.alias("_high")), "lang", "left").withColumn("_away", away)
+    bands = stage(spread.select("lang", "_middle", low.alias("_low"), high.alias("_high")), "bands")
+    judged = join_few(rows, bands, ["lang"], "left").withColumn("_away", away)
     kept = ~failed & F.coalesce(F.col("_away").between(F.col("_low"), F.col("_high")), F.lit(False))
     return judged.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "log_perplexity")
