@@ -38,6 +38,7 @@ PARTS = re.compile(r"[^a-z]+")
 
 #: A branch needs so many different pages before it is judged; below LEAST of the entropy that these could have, it goes.
 PAGES, LEAST, PRESENTATION = 4, 0.3, 0.1
+BY_KIND, BY_NAME = 1, 2
 TAG, PARENT, NOISY, PATH, LABEL, LINKED, LINKS, CHARS, WITHIN = range(9)
 
 
@@ -123,8 +124,8 @@ class Page:
             names, hidden = self._names(found["attrs"]) if found["attrs"] else ((), False)
             above = nodes[parent]
             within = tag in ("article", "main") or above[WITHIN]
-            noisy = above[NOISY] or hidden or tag in NOISE or (tag == "header" or not HEADERS.isdisjoint(names)) and not within
-            noisy = noisy or tag not in ("html", "body", "main") and not NAMED.isdisjoint(names)
+            noisy = BY_KIND if hidden or tag in NOISE or (tag == "header" or not HEADERS.isdisjoint(names)) and not within else 0
+            noisy = noisy or (BY_NAME if tag not in ("html", "body", "main") and not NAMED.isdisjoint(names) else 0)
             label = f"{tag}.{'.'.join(names)}"
             nodes.append([tag, parent, noisy, xxhash.xxh64_intdigest(f"{above[PATH]}/{label}") - 2**63, label, 0, int(tag == "a"), 0, within])
             stack.append(len(nodes) - 1)
@@ -143,14 +144,27 @@ class Page:
         return tuple(dict.fromkeys(names)), hidden
 
     def sums(self) -> None:
-        """Characters, links and linked characters of whole branches; branches of links alone are noise (menus)."""
+        """Characters, links and linked characters of whole branches, and which are noise.
+
+        A branch of links alone is a menu. A name counts for nothing on a branch around the page's first heading, its main
+        element or its only article: such a name speaks of the layout.
+        """
+        nodes = self.nodes
+        alone = sum(node[TAG] == "article" and not node[NOISY] for node in nodes) == 1
+        core = [False] * len(nodes)
+        for k in range(len(nodes) - 1, 0, -1):
+            node = nodes[k]
+            own = not node[NOISY] and (node[TAG] in ("h1", "main") or node[TAG] == "article" and alone)
+            if own or core[k] and node[NOISY] != BY_KIND:
+                core[node[PARENT]] = True
         for node in reversed(self.nodes[1:]):
             above = self.nodes[node[PARENT]]
             for k in (LINKED, LINKS, CHARS):
                 above[k] += node[k]
-        for node in self.nodes[1:]:
+        for k in range(1, len(nodes)):
+            node = nodes[k]
             menu = node[TAG] in ("ul", "ol", "div", "table", "section", "p") and node[LINKS] >= 3 and node[LINKED] >= 0.7 * node[CHARS]
-            node[NOISY] = node[NOISY] or menu or self.nodes[node[PARENT]][NOISY]
+            node[NOISY] = bool(nodes[node[PARENT]][NOISY] or node[NOISY] == BY_KIND or node[NOISY] == BY_NAME and not core[k] or menu)
 
     def scope(self) -> list[bool]:
         """Which elements lie in the page's articles; without any in its main elements, else everywhere."""
