@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import sparkloom
 from pyspark import cloudpickle
@@ -66,6 +70,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "2m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def per_process(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks (the code of a task is new each time)."""
+    held = sys.modules.setdefault("_sparkloom_kept", types.ModuleType("_sparkloom_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def join_few(df: DataFrame, few: DataFrame, on: list[str], how: str, most: int = 10_000) -> DataFrame:
     """Join a staged table that is broadcast if it has at most ``most`` rows, else shuffled."""
     return df.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, on, how)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_in, small_batches, stage
+from .common import dense_rank_in, per_process, small_batches, stage
 
 MAX_TOKENS, END_ID = 2048, 1
 
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, v
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids with the end id, cut every ``max_tokens``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
+        encode = per_process(f"encoder {vocabulary}", lambda: encoder(vocabulary))
         for rows in batches:
             out = []
             for ident, text in zip(rows["_id"], rows["_text"], strict=True):
