@@ -80,7 +80,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     order = ["_key", "_is_url", "_path", "_ident"]
     ranged = stage(url.unionByName(rule).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "urls")
     first = ranged.groupBy("_part").agg(F.min("_key").alias("_first"))
-    labels = F.split(F.expr(f"substring(_first, 1, length(_first) - 1)"), SEP)
+    labels = F.split(F.expr("substring(_first, 1, length(_first) - 1)"), SEP)
     above = first.select("_part", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.concat_ws(SEP, F.slice(labels, 1, n)), F.lit(SEP)))).alias("_key")).filter("length(_key) > 1")
     carried = rule.join(above, "_key")
     rows = ranged.unionByName(carried.select(ranged.columns)).repartition("_part").sortWithinPartitions("_part", *order)

@@ -1,3 +1,5 @@
+import zlib
+
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid
@@ -17,15 +19,13 @@ def test_known_and_unseen_words(documents):
     assert all(found[k].lang_pred == lang for k, _, lang in rows[:60])
     assert [found[k].lang_pred for k in (1000, 1001, 1002, 1003, 1004)] == ["und", "und", "und", "bb", "aa"]
     assert all(0 <= r.score <= 1 for r in found.values()) and found[None].held_out
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k, r in found.items() if k is not None)
 
 
 def test_other_columns_are_no_inputs(documents):
     rows = [(k, TEXTS[lang], lang) for k in range(30) for lang in [sorted(TEXTS)[k % 3]]]
     a = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_id(documents(rows), train_on()).collect()}
-    changed = [(k, t, lang if k % 2 == 0 or __import__("zlib").crc32(str(k).encode()) % 3 != 1 else "aa") for k, t, lang in rows]
+    changed = [(k, t, lang if k % 2 == 0 or zlib.crc32(str(k).encode()) % 3 != 1 else "aa") for k, t, lang in rows]
     assert a == {r.doc_id: (r.lang_pred, r.score) for r in langid.language_id(documents(changed), train_on()).collect()}
 
 
