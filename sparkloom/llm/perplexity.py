@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ ORDER = 5
 START, END = "\x02", "\x03"
 #: The model keeps at most this many n-grams (the most frequent ones, whole counts at a time): 12 MB of arrays.
 MODEL_GRAMS = 1 << 19
-#: Words that a task holds before it hands on their n-grams, and scores at once: a few tens of MB of arrays.
-CHUNK = 60_000
+#: Different words that a task holds, and how many of them it turns into arrays at once: a few tens of MB each.
+HELD, CHUNK = 200_000, 40_000
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A language's band of log perplexity: its median less and plus so many spreads. A spread is the distance of the quartile
@@ -41,22 +42,24 @@ def gram_counts(docs: DataFrame, lang: str = "_lang", text: str = "_text") -> Da
         def flush() -> pd.DataFrame:
             out = []
             for name, words in seen.items():
-                texts = [START + w.decode("utf-8", "replace") + END for w in words]
-                codes, sizes = hashed.points(texts)
-                place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                end = np.flatnonzero(place > 0) + 1
-                depth = np.minimum(place[end - 1] + 1, ORDER)
-                _, first, back = np.unique(hashed.keys(np.zeros(len(end), np.uint64), codes, end, depth, ORDER), return_index=True, return_inverse=True)
-                n = np.bincount(back.reshape(-1), np.repeat(np.fromiter(words.values(), float, len(words)), sizes - 1)).astype(np.int64)
-                joined = "".join(texts)
-                out.append(pd.DataFrame({"lang": name, "gram": [joined[e - d : e] for e, d in zip(end[first], depth[first], strict=True)], "n": n}))
+                listed, many = list(words), np.fromiter(words.values(), float, len(words))
+                for k in range(0, len(listed), CHUNK):
+                    texts = [START + w.decode("utf-8", "replace") + END for w in listed[k : k + CHUNK]]
+                    codes, sizes = hashed.points(texts)
+                    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    end = np.flatnonzero(place > 0) + 1
+                    depth = np.minimum(place[end - 1] + 1, ORDER)
+                    _, first, back = np.unique(hashed.keys(np.zeros(len(end), np.uint64), codes, end, depth, ORDER), return_index=True, return_inverse=True)
+                    n = np.bincount(back.reshape(-1), np.repeat(many[k : k + CHUNK], sizes - 1)).astype(np.int64)
+                    joined = "".join(texts)
+                    out.append(pd.DataFrame({"lang": name, "gram": [joined[e - d : e] for e, d in zip(end[first], depth[first], strict=True)], "n": n}))
             seen.clear()
             return pd.concat(out) if out else pd.DataFrame({"lang": [], "gram": [], "n": []}).astype({"lang": str, "gram": str, "n": int})
 
         for rows in batches:
             for name, value in zip(rows[lang], rows[text], strict=True):
                 seen.setdefault(name, Counter()).update(words_of(value))
-            if sum(map(len, seen.values())) > CHUNK:
+            if sum(map(len, seen.values())) > HELD:
                 yield flush()
         yield flush()
 
@@ -170,19 +173,24 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
+        known: dict[str, tuple] = {}  # by language: word -> its number, and the scores of the numbers
         for rows in batches:
             out: list = [None] * len(rows)
             texts, langs = rows["_text"].tolist(), rows["_lang"].to_numpy()
+            if sum(len(x[0]) for x in known.values()) > HELD:
+                known.clear()
             for lang in dict.fromkeys(langs):
                 at = np.flatnonzero(langs == lang)
-                vocabulary: dict[bytes, int] = {}
-                ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(texts[k])), np.uint64) for k in at]
-                listed = list(vocabulary)
-                parts = [own.word_scores(lang, listed[k : k + CHUNK]) for k in range(0, len(listed), CHUNK)]
-                logs, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0))
+                vocabulary, logs, sizes = known.get(lang, ({}, np.empty(0), np.empty(0, np.int64)))
+                ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(texts[k])), np.int64) for k in at]
+                new = list(islice(vocabulary, len(logs), None))
+                for k in range(0, len(new), CHUNK):
+                    more = own.word_scores(lang, new[k : k + CHUNK])
+                    logs, sizes = np.concatenate([logs, more[0]]), np.concatenate([sizes, more[1]])
+                known[lang] = vocabulary, logs, sizes
                 for k, mine in zip(at, ids, strict=True):
-                    total = sizes[mine.astype(np.int64)].sum()
-                    out[k] = (*base_counts(texts[k], mine), -logs[mine.astype(np.int64)].sum() / total if total else None)
+                    total = sizes[mine].sum()
+                    out[k] = (*base_counts(texts[k], mine.astype(np.uint64)), -logs[mine].sum() / total if total else None)
             made = pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")])
             made.insert(0, "lang", langs)
             made.insert(0, "_id", rows["_id"].to_numpy() if rows["_id"].notna().all() else rows["_id"].astype("Int64"))
