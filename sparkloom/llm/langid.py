@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ LONGEST = 5
 MODEL_WORDS = MODEL_GRAMS = 100_000
 #: A word that isn't in the model says less about the language than one that is.
 UNSEEN_WEIGHT = 0.5
-#: Words that a task holds before it hands on their counts, and looks up at once.
-CHUNK = 100_000
+#: Different words that a task holds, and how many of them it looks up at once.
+HELD, CHUNK = 200_000, 50_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,7 +43,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for rows in batches:
             for lang, text in zip(rows["_lang"], rows["_text"], strict=True):
                 seen.update((lang, w) for w in words_of(text))
-            if len(seen) > CHUNK:
+            if len(seen) > HELD:
                 yield flush()
         yield flush()
 
@@ -131,16 +132,22 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, known, word_logs, hashes, gram_logs, prior = shared.value
         known = {w: k for k, w in enumerate(known)}
+        vocabulary: dict[str, int] = {}
+        logs = np.zeros((0, len(langs)), np.float32)
         for rows in batches:
+            if len(vocabulary) > HELD:
+                vocabulary, logs = {}, logs[:0]
             texts = [words_of(text) if isinstance(text, str) else [] for text in rows["_text"]]
-            vocabulary: dict[str, int] = {}
             ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in text), np.int64, len(text)) for text in texts]
-            logs = np.zeros((len(vocabulary), len(langs)), np.float32)
-            at = np.fromiter((known.get(w, -1) for w in vocabulary), np.int64, len(vocabulary))
-            logs[at >= 0] = word_logs[at[at >= 0]]
-            if langs and (at < 0).any():
-                new = [w for w, k in zip(vocabulary, at, strict=True) if k < 0]
-                logs[at < 0] = np.concatenate([unseen(new[k : k + CHUNK], hashes, gram_logs) for k in range(0, len(new), CHUNK)])
+            new = list(islice(vocabulary, len(logs), None))
+            for k in range(0, len(new), CHUNK):
+                part = new[k : k + CHUNK]
+                at = np.fromiter((known.get(w, -1) for w in part), np.int64, len(part))
+                more = np.zeros((len(part), len(langs)), np.float32)
+                more[at >= 0] = word_logs[at[at >= 0]]
+                if langs and (at < 0).any():
+                    more[at < 0] = unseen([w for w, k in zip(part, at, strict=True) if k < 0], hashes, gram_logs)
+                logs = np.concatenate([logs, more])
             out = []
             for own in ids:
                 if not len(own) or not langs:
