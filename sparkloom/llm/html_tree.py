@@ -163,7 +163,7 @@ class Page:
                 above[k] += node[k]
         for k in range(1, len(nodes)):
             node = nodes[k]
-            menu = node[TAG] in ("ul", "ol", "div", "table", "section", "p") and node[LINKS] >= 3 and node[LINKED] >= 0.7 * node[CHARS]
+            menu = (node[TAG] in ("ul", "ol", "div", "table", "section") or node[TAG] == "p" and not node[WITHIN]) and node[LINKS] >= 3 and node[LINKED] >= 0.7 * node[CHARS]
             node[NOISY] = bool(nodes[node[PARENT]][NOISY] or node[NOISY] == BY_KIND or node[NOISY] == BY_NAME and not core[k] or menu)
 
     def scope(self) -> list[bool]:

@@ -16,6 +16,7 @@ def text(source):
         ("<div class='ad-box'>buy</div><div id='cookie_notice'>ok</div><div><p>x</p></div>", "x"), ("<form><p>no</p></form><p>x</p>", "x"), ("<ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul><p>x</p>", "x"),
         ("<div class='layout has-sidebar'><div class='sidebar'>s</div><article><p>x</p></article></div>", "x"), ("<div class='menu-page'><h1>T</h1><p>x</p></div>", "T\nx"),
         ("<main><p>x</p><section class='comments'><article class='comment'><p>one</p></article><article class='comment'><p>two</p></article></section></main>", "x"),
+        ("<article><p><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></p></article>", "one two three"), ("<p><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></p><p>x</p>", "x"),
         ("<!-- <p>no</p> --><p>x</p><!-- open", "x"), ("<p title='a > b'>x</p>", "x"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<div hidden>no</div><p>x</p>", "x"), ("<p><b>a<br><p>b</p>", "a\nb"), ("<p>x</p></div></p>y", "x\ny"),
     ],
 )
