@@ -17,8 +17,6 @@ from .common import join_few, small_batches, stage
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: The model keeps at most this many n-grams (the most frequent ones, whole counts at a time): 12 MB of arrays.
-MODEL_GRAMS = 1 << 19
 #: Different words that a task holds, and how many of them it turns into arrays at once: a few tens of MB each.
 HELD, CHUNK = 200_000, 40_000
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -66,12 +64,12 @@ def gram_counts(docs: DataFrame, lang: str = "_lang", text: str = "_text") -> Da
     return docs.select(lang, text).mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, keep: int = MODEL_GRAMS) -> tuple[DataFrame, DataFrame]:
+def kneser_ney(counts: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, alpha) and (lang, gram: context, gamma) of an interpolated modified Kneser-Ney model.
 
     Below the highest order an n-gram counts the different characters before it; at the start of a word it keeps its
-    count. Discounts come from the counts of counts of each language and order. Only the most frequent ``keep`` n-grams
-    are returned; a context's gamma is the mass that its returned ones leave.
+    count. Discounts come from the counts of counts of each language and order. Every n-gram is returned, or with ``keep``
+    only the most frequent ones; a context's gamma is the mass that its returned ones leave.
     """
     levels = [counts.filter(F.length("gram") == ORDER)]
     for k in range(ORDER - 1, 0, -1):
@@ -87,13 +85,13 @@ def kneser_ney(counts: DataFrame, keep: int = MODEL_GRAMS) -> tuple[DataFrame, D
     cut = lambda c: F.least(F.greatest(c - (c + 1) * y * F.col(f"n{c + 1}") / F.greatest(f"n{c}", F.lit(1.0)), F.lit(0.05)), F.lit(c - 0.05))
     discounts = every.groupBy("lang", "k").agg(*of).select("lang", "k", cut(1).alias("d1"), cut(2).alias("d2"), cut(3).alias("d3"))
     totals = every.groupBy("lang", "k", "h").agg(F.sum("n").alias("total"))
-    freq = every.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n"))
     least, kept = 1, 0
-    for row in freq.toLocalIterator():
-        kept += row["m"]
-        if kept > keep:
-            least = row["n"] + 1
-            break
+    if keep is not None:
+        for row in every.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).toLocalIterator():
+            kept += row["m"]
+            if kept > keep:
+                least = row["n"] + 1
+                break
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     alpha = every.filter(F.col("n") >= least).join(totals, ["lang", "k", "h"]).join(discounts, ["lang", "k"]).select("lang", "gram", "h", ((F.col("n") - d) / F.col("total")).alias("alpha"))
     alpha = stage(alpha, "alpha")

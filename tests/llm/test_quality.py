@@ -87,3 +87,15 @@ def test_pruning_keeps_the_most_frequent(documents, prose):
     docs = documents([(k, prose(60)) for k in range(10)]).selectExpr("'en' AS _lang", "text AS _text")
     alpha, _ = p.kneser_ney(p.gram_counts(docs), keep=50)
     assert 0 < alpha.count() <= 50
+
+
+def test_the_model_keeps_every_counted_gram(documents, prose):
+    """More n-grams than the 524,288 that the model once kept: none may be missing."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+    text = lambda: " ".join("".join(prose.rng.choices(alphabet, k=8)) for _ in range(900))
+    docs = documents([(k, text()) for k in range(120)]).selectExpr("'en' AS _lang", "text AS _text")
+    words = {p.START + w + p.END for r in docs.collect() for w in r["_text"].split()}
+    whole = {w[k : k + p.ORDER] for w in words for k in range(len(w) - p.ORDER + 1)}
+    model = p.train(docs)
+    assert len(whole) > 1 << 19 and len(model.a) > len(whole)
+    assert not set(p.sorted_arrays(docs.sparkSession.createDataFrame([("en", g) for g in sorted(whole)[:1000]], "lang string, gram string").selectExpr("*", "1.0 AS alpha"), "alpha")[0].tolist()) - set(model.a.tolist())
