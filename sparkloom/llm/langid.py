@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from . import hashed
 from .common import small_batches, stage
 
 LONGEST = 5
-#: The model keeps at most this many words and this many n-grams, the most frequent ones by whole counts.
-MODEL_WORDS = MODEL_GRAMS = 100_000
 #: A word that isn't in the model says less about the language than one that is.
 UNSEEN_WEIGHT = 0.5
 #: Different words that a task holds, and how many of them it looks up at once.
@@ -66,31 +65,37 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, keep: int) -> pd.DataFrame:
-    """The rows of the keys (word) whose totals are largest, at most ``keep`` keys; the limit is a total found from the totals' histogram."""
-    totals = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    least, kept = 1, 0
-    for row in totals.groupBy("total").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("total")).toLocalIterator():
-        kept += row["m"]
-        if kept > keep:
-            least = row["total"] + 1
-            break
-    return counts.join(totals.filter(F.col("total") >= least).select("word"), "word").select("lang", "word", "n").toArrow().to_pandas()
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
-def log_table(rows: pd.DataFrame, langs: list[str], totals: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The keys, and for each its log frequency in every language (smoothed by half a count) less their mean."""
-    keys = {w: k for k, w in enumerate(rows["word"].unique())}
-    table = np.zeros((len(keys), len(langs)))
-    at = {name: k for k, name in enumerate(langs)}
-    if keys:
-        table[rows["word"].map(keys).to_numpy(int), rows["lang"].map(at).to_numpy(int)] = rows["n"].to_numpy()
-    logs = np.log(table + 0.5) - np.log(totals + 0.5 * max(len(keys), 1))
-    return list(keys), (logs - logs.mean(1, keepdims=True) if keys else logs).astype(np.float32)
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    codes, sizes = hashed.points(grams)
+    return hashed.keys(np.zeros(len(sizes), np.uint64), codes, np.cumsum(sizes), sizes, LONGEST)
+
+
+def log_table(counts: DataFrame, langs: list[str], totals: np.ndarray, hashes: Callable[[list[str]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of all keys (word), made by the tasks, and for each its log frequency in every language (smoothed by half a count) less their mean."""
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {name: k for k, name in enumerate(langs)}
+        for rows in batches:
+            if len(rows):
+                yield pd.DataFrame({"key": hashes(rows["word"].tolist()).view(np.int64), "lang": rows["lang"].map(at).astype(np.int32), "n": rows["n"]})
+
+    rows = counts.mapInPandas(coded, "key long, lang int, n long").toArrow()
+    keys, back = np.unique(rows["key"].to_numpy().view(np.uint64), return_inverse=True)
+    logs = np.full((len(keys), len(langs)), 0.5, np.float32)
+    np.add.at(logs, (back.reshape(-1), rows["lang"].to_numpy()), rows["n"].to_numpy().astype(np.float32))
+    np.log(logs, out=logs)
+    logs -= np.log(totals + 0.5 * max(len(keys), 1)).astype(np.float32)
+    if len(keys):
+        logs -= logs.mean(1, keepdims=True)
+    return keys, logs
 
 
 def train(docs: DataFrame) -> tuple:
-    """(languages, words and their logs, sorted n-gram hashes and their logs, log share of the rows) from rows with _lang and _text, neither null."""
+    """(languages, sorted word hashes and their logs, sorted n-gram hashes and their logs, log share of the rows) from rows with _lang and _text, neither null."""
     share = {r["_lang"]: r["n"] for r in docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(share)
     words = stage(word_counts(docs), "words")
@@ -98,12 +103,7 @@ def train(docs: DataFrame) -> tuple:
     sums = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     total = np.array([max(1, sums.get(name, 0)) for name in langs], float)
     prior = np.log(np.array([share[name] for name in langs], float) / max(1, sum(share.values())))
-    words_, word_logs = log_table(most_frequent(words, MODEL_WORDS), langs, total)
-    grams_, gram_logs = log_table(most_frequent(grams, MODEL_GRAMS), langs, total)
-    codes, sizes = hashed.points(grams_)
-    hashes = hashed.keys(np.zeros(len(sizes), np.uint64), codes, np.cumsum(sizes), sizes, LONGEST) if grams_ else np.empty(0, np.uint64)
-    order = np.argsort(hashes)
-    return langs, words_, word_logs, hashes[order], gram_logs[order], prior
+    return langs, *log_table(words, langs, total, word_hashes), *log_table(grams, langs, total, gram_hashes), prior
 
 
 def unseen(words: list[str], hashes: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -131,7 +131,6 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, known, word_logs, hashes, gram_logs, prior = shared.value
-        known = {w: k for k, w in enumerate(known)}
         vocabulary: dict[str, int] = {}
         logs = np.zeros((0, len(langs)), np.float32)
         for rows in batches:
@@ -142,11 +141,11 @@ def identify(docs: DataFrame, model: tuple) -> DataFrame:
             new = list(islice(vocabulary, len(logs), None))
             for k in range(0, len(new), CHUNK):
                 part = new[k : k + CHUNK]
-                at = np.fromiter((known.get(w, -1) for w in part), np.int64, len(part))
+                at, there = hashed.find(known, word_hashes(part))
                 more = np.zeros((len(part), len(langs)), np.float32)
-                more[at >= 0] = word_logs[at[at >= 0]]
-                if langs and (at < 0).any():
-                    more[at < 0] = unseen([w for w, k in zip(part, at, strict=True) if k < 0], hashes, gram_logs)
+                more[there] = word_logs[at[there]]
+                if langs and not there.all():
+                    more[~there] = unseen([w for w, k in zip(part, there, strict=True) if not k], hashes, gram_logs)
                 logs = np.concatenate([logs, more])
             out = []
             for own in ids:
@@ -169,8 +168,8 @@ def language_id(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str
     """The predicted language of every row, learned from the rows where the condition ``train_on`` holds.
 
     Words are runs of letters, lower-cased. A known word adds its log frequency in each language; an unseen one the mean of
-    its longest known character n-grams, of 5 characters first and 1 last. All training rows are counted; the model is
-    bounded (MODEL_WORDS, MODEL_GRAMS). Only text and a non-null lang of training rows are used; no column but the text enters a
+    its longest known character n-grams, of 5 characters first and 1 last. All training rows are counted, and the
+    model holds every counted word and n-gram. Only text and a non-null lang of training rows are used; no column but the text enters a
     prediction.
 
     Returns doc_id, held_out (not ``train_on``), lang_pred ('und' if the text is null or has no letter, or nothing was

@@ -38,3 +38,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = langid.language_id(docs, train_on()).join(docs, "doc_id").filter("held_out and length(text) > 30")
     assert found.filter("lang_pred = lang").count() >= 0.95 * found.count()
+
+
+def test_the_model_holds_every_counted_word(documents):
+    """More words than the 100,000 that the model once held: none may be treated as unseen."""
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(5))
+    docs = documents([(k, " ".join(map(word, range(500 * k, 500 * k + 500))), "aa" if k % 2 else "bb") for k in range(220)])
+    langs, known, logs, hashes, _, _ = langid.train(docs.selectExpr("lang AS _lang", "text AS _text"))
+    assert langs == ["aa", "bb"] and len(known) == 110_000 == len(logs)
+    assert set(langid.word_hashes([word(0), word(109_999)]).tolist()) <= set(known.tolist())
+    assert len(hashes) > 100_000
