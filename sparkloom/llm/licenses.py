@@ -69,7 +69,36 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("All-Rights-Reserved", ("reserved",)),
 ]
+
+#: What the standard texts hold beside these, as they are parted. In tables of their own: SQL is made from those above.
+MORE_SENTENCES = {
+    "gpl-program": "this program is free software",
+    "gpl3-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-modify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-program-modify": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl3-either": "either version 3 of the license or at your option any later version",
+    "gpl2-either": "either version 2 of the license or at your option any later version",
+    "gpl-any-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-even-warranty": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+}
+#: A GPL notice is parted at its semicolons, which differ between versions.
+GPL_WARRANTIES = [("gpl-warranty",), ("gpl-any-warranty", "gpl-even-warranty")]
+MORE_RULES = [
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
+    *(
+        (f"GPL-{v}.0", (*head, *warranty, "gpl-see"))
+        for v, free in ((3, "gpl-free"), (2, "gpl2-free"))
+        for head in ((free,), ("gpl-program", f"gpl{v}-modify"), ("gpl-program", "gpl-modify", f"gpl{v}-either"), ("gpl-program-modify", f"gpl{v}-either"))
+        for warranty in GPL_WARRANTIES
+        if (head, warranty) != ((free,), GPL_WARRANTIES[0])
+    ),
+]
 ENDS, SPACE = r"([.!?;])[ \t\r\f]+", r"[ \t\r\n\f]+"
+#: Where a paragraph or an item of a list begins: after lines without letters and digits, at a number or letter with ``.``
+#: or ``)``, and at a bullet after ``. : ;``. BREAK stands for it while line ends become spaces.
+BLANK, NUMBER, BULLET, BREAK = r"\n[^A-Za-z0-9\n]*\n", r"\n[ \t*#/]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+", r"([.:;])[ \t\r]*\n[ \t]*[-*\u2022][ \t]+", "\x1e"
 
 
 def normal(sentence):
@@ -84,24 +113,33 @@ def known(text, sentences: dict[str, str]):
     return F.filter(F.transform(parts, lambda s: F.try_element_at(table, normal(s))), lambda x: x.isNotNull())
 
 
+def paragraphs(text):
+    """``text`` with one line for each paragraph and item of a list."""
+    parted = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BULLET, f"$1{BREAK}"), NUMBER, BREAK), BLANK, BREAK)
+    return F.translate(F.regexp_replace(parted, SPACE, " "), BREAK, "\n")
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """Which licences the sentences of every row state.
 
     A text is parted at line ends and after ``. ! ? ;`` before white space; a wrapped text is also read with its line ends
-    as spaces, and the reading that knows more sentences counts (the first of two equal ones). Known sentences become
-    identifiers; a rule fits if its identifiers follow each other in the row's sequence. No row leaves its task: the
+    as spaces, and once more with the line ends inside paragraphs and items of lists as spaces (item numbers are dropped).
+    Known sentences become identifiers; a rule fits if its identifiers follow each other in the sequence of one of the
+    readings. The identifiers returned are those of the reading that knows most (the first of equal ones). No row leaves its task: the
     sentences and rules are literals of the plan.
 
     Returns doc_id, sentence_ids (comma-joined, in order), n_sentences, licenses (comma-joined, by name). A null or empty
     text has none. Repeated rows are returned each; null ids stay. An empty table gives an empty result; other columns are
     ignored.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = sentences or SENTENCES | MORE_SENTENCES, rules or RULES + MORE_RULES
     text = F.coalesce(F.col(text_col), F.lit(""))
-    both = docs.select(F.col(id_col).alias("doc_id"), known(text, sentences).alias("_lines"), known(F.regexp_replace(text, SPACE, " "), sentences).alias("_whole"))
-    ids = both.select("doc_id", F.when(F.size("_whole") > F.size("_lines"), F.col("_whole")).otherwise(F.col("_lines")).alias("_ids"))
-    joined = ids.select("doc_id", F.array_join("_ids", ",").alias("sentence_ids"), F.size("_ids").cast("long").alias("n_sentences"))
-    held = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
+    readings = {"_lines": text, "_whole": F.regexp_replace(text, SPACE, " "), "_parts": paragraphs(text)}
+    read = docs.select(F.col(id_col).alias("doc_id"), *[known(t, sentences).alias(name) for name, t in readings.items()])
+    most = F.greatest(*map(F.size, readings))
+    ids = read.select("*", F.coalesce(*[F.when(F.size(name) == most, F.col(name)) for name in readings]).alias("_ids"))
+    held = F.concat(F.lit(","), F.concat_ws(",,;,", *[F.array_join(name, ",") for name in readings]), F.lit(","))
+    joined = ids.select("doc_id", F.array_join("_ids", ",").alias("sentence_ids"), F.size("_ids").cast("long").alias("n_sentences"), held.alias("_held"))
     by_name = {name: [r for n, r in rules if n == name] for name in sorted({n for n, _ in rules})}
-    fits = [F.when(F.greatest(*[F.contains(held, F.lit(f",{','.join(r)},")) for r in own], F.lit(False)), F.lit(name)) for name, own in by_name.items()]
-    return joined.withColumn("licenses", F.concat_ws(",", *fits))
+    fits = [F.when(F.greatest(*[F.contains("_held", F.lit(f",{','.join(r)},")) for r in own], F.lit(False)), F.lit(name)) for name, own in by_name.items()]
+    return joined.withColumn("licenses", F.concat_ws(",", *fits)).drop("_held")

@@ -55,3 +55,74 @@ def test_licenses(documents):
     found = {r.doc_id: r for r in licenses.license_scan(documents(rows)).collect()}
     assert [found[k].licenses for k, _ in rows] == ["MIT", "MIT", "MIT", "", "", "", "All-Rights-Reserved,Apache-2.0", "", "MIT", "MIT", "MIT"]
     assert found[4].n_sentences == 4 and found[7].sentence_ids == "reserved,apache-notice"
+
+
+MIT = """The MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{0}1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{0}2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{1}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+NAMES = """{}3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_standard_texts_as_they_are_wrapped(documents):
+    comma = GPL.replace("Foundation;", "Foundation,")
+    texts = [MIT, comma.format(":", 3), comma.format(";", 2), GPL.format(";", 2), BSD.format("", ""), BSD.format("\n", ""), BSD.format("", NAMES.format("")), BSD.format("\n", NAMES.format("\n")), APACHE]
+    bullets = BSD.format("", "").replace("1. ", "* ").replace("2. ", "* ")
+    found = {r.doc_id: r.licenses for r in licenses.license_scan(documents(list(enumerate([*texts, bullets, MIT.replace("\n", "\r\n")])))).collect()}
+    assert [found[k] for k in range(11)] == ["MIT", "GPL-3.0", "GPL-2.0", "GPL-2.0", "BSD-2-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "Apache-2.0", "BSD-2-Clause", "MIT"]
