@@ -50,7 +50,7 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), MIX, anchor="good", max_rate=1.0)
+    return mixing.mixed(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), MIX, anchor="good")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

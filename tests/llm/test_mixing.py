@@ -41,7 +41,7 @@ def test_projected_gradient_agrees_with_numpy(spark):
     rate, now, wanted = mixing.fitted_rates(rows, targets, 0, None)
     have = (words[:, None] * p).sum(0)
     x, want = np.ones(50), np.array(targets) * have[0] / 0.5
-    for _ in range(mixing.STEPS):
+    for _ in range(3000):
         x = np.maximum(0, x - p @ (((x * words) @ p - want) / have))
     assert np.allclose(wanted, want)
     assert np.allclose((x * words) @ p, now, rtol=0.01), ((x * words) @ p, now, wanted)
@@ -59,3 +59,18 @@ def test_no_python_in_the_plan(tables):
     docs, labels = tables
     plan = mixing.posteriors(docs.selectExpr("doc_id AS _id", "text AS _text"), labels.selectExpr("doc_id AS _id", "domain"), ["bad", "good"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_long_texts_and_repeated_rows(spark, documents, prose):
+    labels = spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id long, domain string")
+    found = mixing.mixed(documents([(1, prose(30)), (2, "foul " * 300_000), (3, "same text"), (3, "same text")]), labels, MIX, anchor="good").collect()
+    assert sorted(r.n_words for r in found) == [2, 2, 30, 300_000]
+    twice = [r for r in found if r.doc_id == 3]
+    assert len(twice) == 2 and twice[0].copies == twice[1].copies
+
+
+def test_missed_totals_are_reported(spark, documents, prose):
+    labels = spark.createDataFrame([(k, "good" if k < 30 else "bad") for k in range(40)], "doc_id long, domain string")
+    docs = documents([(k, prose(30) + ("" if k < 30 else " rotten foul")) for k in range(40)])
+    with pytest.warns(UserWarning, match="misses its wanted totals"):
+        mixing.mixed(docs, labels, {"good": 0.3, "bad": 0.7}, anchor="good", max_rate=1.0)
