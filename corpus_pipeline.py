@@ -18,17 +18,24 @@ def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose perplexity lies in their language's band."""
     return _chosen(docs, perplexity.quality(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    found = recipes.exact_dedup(docs)
-    out = _chosen(docs, found)
-    repeated = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    """Of equal texts the document with the largest id; of rows that repeat an id any one."""
+    out = _chosen(docs, recipes.exact_dedup(docs))
+    unique = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return out if unique else out.dropDuplicates(["doc_id"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +44,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document, none or one, as the target weights of the domains ask for."""
+    """As many copies of each document as the target weights of the domains ask for."""
     labels = labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = mixing.mixed(docs, labels, MIX, anchor="good", max_rate=1.0).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    ident, many = _unused(docs, "mixed_id"), _unused(docs, "copies")
+    found = mixing.mixed(docs, labels, MIX, anchor="good").filter("copies > 0").groupBy(F.col("doc_id").alias(ident)).agg(F.max("copies").cast("int").alias(many))
+    return docs.join(found, docs["doc_id"] == found[ident]).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(many))).alias(ident)).drop(ident)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
