@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,17 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import join_few, small_batches, stage
+from .common import join_few, release, small_batches, stage
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Different words that a task holds, and how many of them it turns into arrays at once: a few tens of MB each.
-HELD, CHUNK = 200_000, 40_000
+#: Slots of a task's table of n-grams (counted, or scored): a few tens of MB. What finds its slot taken goes another way.
+SLOTS = 1 << 20
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A language's band of log perplexity: its median less and plus so many spreads. A spread is the distance of the quartile
-#: from the median for a text of one word; it narrows with the square root of the number of words.
-BELOW, ABOVE = 10.0, 10.0
+#: from the median for a text of one word; it narrows with the square root of the number of words. At sf0.1 each side costs
+#: fewer than one in a thousand of the labelled clean documents that pass the base rules.
+BELOW, ABOVE = 6.0, 4.5
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,45 +30,92 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def running(words: list[bytes]) -> str:
+    """A text as the model reads it: its words parted by one space, between START and END."""
+    return START + b" ".join(words).decode("utf-8", "replace").replace("\0", "\ufffd") + END
+
+
+def seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang))
+
+
+class Windows:
+    """The n-grams of running texts that end with each character after START, of ORDER characters (fewer at the start)."""
+
+    def __init__(self, texts: list[str], seeds: np.ndarray) -> None:
+        self.codes, self.sizes = hashed.points(texts)
+        self.seeds = np.repeat(seeds, self.sizes)
+        place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.end = np.flatnonzero(place > 0) + 1
+        self.depth = np.minimum(place[self.end - 1] + 1, ORDER)
+        self.keys = hashed.window_keys(self.seeds, self.codes, ORDER)[self.end - 1]
+        short = np.flatnonzero(self.depth < ORDER)
+        self.keys[short] = self.of(short, self.depth[short])
+
+    def of(self, at: np.ndarray, depth: np.ndarray, back: int = 0) -> np.ndarray:
+        """Keys of the n-grams of ``depth`` characters that end ``back`` characters before the end of the windows ``at``."""
+        end = self.end[at] - back
+        return hashed.keys(self.seeds[self.end[at] - 1], self.codes, end, depth, ORDER)
+
+    def grams(self, at: np.ndarray) -> np.ndarray:
+        """The n-grams of the windows ``at``, each as ORDER code points, 0 after its own."""
+        step = np.arange(ORDER)
+        where = np.minimum((self.end[at] - self.depth[at])[:, None] + step, len(self.codes) - 1)
+        return np.where(step < self.depth[at][:, None], self.codes[where], 0).astype("<u4")
+
+
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def gram_counts(docs: DataFrame, lang: str = "_lang", text: str = "_text") -> DataFrame:
-    """lang, gram, n: all character n-grams of ORDER, and the shorter ones at the start of a word, of all words of all rows."""
+    """lang, gram, n: all character n-grams of ORDER, and the shorter ones at the start, of all running texts; n-grams go on over spaces."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, Counter] = {}
-
-        def flush() -> pd.DataFrame:
-            out = []
-            for name, words in seen.items():
-                listed, many = list(words), np.fromiter(words.values(), float, len(words))
-                for k in range(0, len(listed), CHUNK):
-                    texts = [START + w.decode("utf-8", "replace") + END for w in listed[k : k + CHUNK]]
-                    codes, sizes = hashed.points(texts)
-                    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    end = np.flatnonzero(place > 0) + 1
-                    depth = np.minimum(place[end - 1] + 1, ORDER)
-                    _, first, back = np.unique(hashed.keys(np.zeros(len(end), np.uint64), codes, end, depth, ORDER), return_index=True, return_inverse=True)
-                    n = np.bincount(back.reshape(-1), np.repeat(many[k : k + CHUNK], sizes - 1)).astype(np.int64)
-                    joined = "".join(texts)
-                    out.append(pd.DataFrame({"lang": name, "gram": [joined[e - d : e] for e, d in zip(end[first], depth[first], strict=True)], "n": n}))
-            seen.clear()
-            return pd.concat(out) if out else pd.DataFrame({"lang": [], "gram": [], "n": []}).astype({"lang": str, "gram": str, "n": int})
+        # a table by slot; an n-gram whose slot another one holds is counted within its batch
+        held, many = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        grams, owner = np.zeros((SLOTS, ORDER), "<u4"), np.zeros(SLOTS, np.int32)
+        names: list[str] = []
+        number: dict[str, int] = {}
+
+        def frame(points: np.ndarray, own: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"lang": np.array(names, object)[own], "gram": np.ascontiguousarray(points).view(f"<U{ORDER}").reshape(-1).tolist(), "n": n})
 
         for rows in batches:
-            for name, value in zip(rows[lang], rows[text], strict=True):
-                seen.setdefault(name, Counter()).update(words_of(value))
-            if sum(map(len, seen.values())) > HELD:
-                yield flush()
-        yield flush()
+            of = [number.setdefault(x, len(number)) for x in rows[lang]]
+            names = list(number)
+            seeds = np.array([seed(x) for x in names], np.uint64)[of]
+            got = Windows([running(words_of(x)) for x in rows[text]], seeds)
+            if not len(got.keys):
+                continue
+            slot = slots_of(got.keys)
+            new, first, n = np.unique(got.keys[held[slot] != got.keys], return_index=True, return_counts=True)
+            many += np.bincount(slot[held[slot] == got.keys], minlength=SLOTS)
+            if not len(new):
+                continue
+            first = np.flatnonzero(held[slot] != got.keys)[first]
+            langs = np.repeat(np.array(of, np.int32), got.sizes)[got.end[first] - 1]
+            at = slots_of(new)
+            chosen = np.zeros(len(new), bool)
+            chosen[np.unique(at, return_index=True)[1]] = True
+            chosen &= many[at] == 0
+            held[at[chosen]], many[at[chosen]], owner[at[chosen]] = new[chosen], n[chosen], langs[chosen]
+            grams[at[chosen]] = got.grams(first[chosen])
+            if not chosen.all():
+                yield frame(got.grams(first[~chosen]), langs[~chosen], n[~chosen])
+        full = np.flatnonzero(many)
+        if len(full):
+            yield frame(grams[full], owner[full], many[full])
 
     return docs.select(lang, text).mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, alpha) and (lang, gram: context, gamma) of an interpolated modified Kneser-Ney model.
 
-    Below the highest order an n-gram counts the different characters before it; at the start of a word it keeps its
-    count. Discounts come from the counts of counts of each language and order. Every n-gram is returned, or with ``keep``
-    only the most frequent ones; a context's gamma is the mass that its returned ones leave.
+    Below the highest order an n-gram counts the different characters before it; at the start of a text it keeps its
+    count. Discounts come from the counts of counts of each language and order. Every n-gram is returned; a context's gamma
+    is the mass that its n-grams leave.
     """
     levels = [counts.filter(F.length("gram") == ORDER)]
     for k in range(ORDER - 1, 0, -1):
@@ -85,22 +131,12 @@ def kneser_ney(counts: DataFrame, keep: int | None = None) -> tuple[DataFrame, D
     cut = lambda c: F.least(F.greatest(c - (c + 1) * y * F.col(f"n{c + 1}") / F.greatest(f"n{c}", F.lit(1.0)), F.lit(0.05)), F.lit(c - 0.05))
     discounts = every.groupBy("lang", "k").agg(*of).select("lang", "k", cut(1).alias("d1"), cut(2).alias("d2"), cut(3).alias("d3"))
     totals = every.groupBy("lang", "k", "h").agg(F.sum("n").alias("total"))
-    least, kept = 1, 0
-    if keep is not None:
-        for row in every.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).toLocalIterator():
-            kept += row["m"]
-            if kept > keep:
-                least = row["n"] + 1
-                break
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    alpha = every.filter(F.col("n") >= least).join(totals, ["lang", "k", "h"]).join(discounts, ["lang", "k"]).select("lang", "gram", "h", ((F.col("n") - d) / F.col("total")).alias("alpha"))
+    alpha = every.join(totals, ["lang", "k", "h"]).join(discounts, ["lang", "k"]).select("lang", "gram", "h", ((F.col("n") - d) / F.col("total")).alias("alpha"))
     alpha = stage(alpha, "alpha")
+    release(every)
     gamma = alpha.groupBy("lang", F.col("h").alias("gram")).agg(F.greatest(1 - F.sum("alpha"), F.lit(1e-4)).alias("gamma"))
-    return alpha.select("lang", "gram", "alpha"), gamma
-
-
-def seed(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang))
+    return alpha, gamma
 
 
 class Model:
@@ -108,6 +144,7 @@ class Model:
 
     def __init__(self, a: np.ndarray, alpha: np.ndarray, g: np.ndarray, gamma: np.ndarray) -> None:
         self.a, self.alpha, self.g, self.gamma = a, alpha, g, gamma
+        self.held, self.logs = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
 
     def arrays(self) -> tuple:
         return self.a, self.alpha, self.g, self.gamma
@@ -119,25 +156,32 @@ class Model:
         at, there = hashed.find(keys, wanted)
         return np.where(there, values[at], missing)
 
-    def word_scores(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word: the sum of the natural logs of its characters' probabilities (its end included), and their number."""
-        texts = [START + w.decode("utf-8", "replace") + END for w in words]
-        points, sizes = hashed.points(texts)
-        place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        end = np.flatnonzero(place > 0) + 1
-        depth = np.minimum(place[end - 1] + 1, ORDER)
-        mark = seed(lang)
-        whole, first, back = np.unique(hashed.keys(np.full(len(end), mark), points, end, depth, ORDER), return_index=True, return_inverse=True)
-        end_, depth_ = end[first], depth[first]
-        own = np.full(len(whole), mark)
-        p = np.full(len(whole), 1 / 1024)
-        for k in range(1, ORDER + 1):
-            now = np.minimum(k, depth_)
-            better = self._find(self.a, self.alpha, hashed.keys(own, points, end_, now, ORDER), 0.0) + self._find(self.g, self.gamma, hashed.keys(own, points, end_ - 1, now - 1, ORDER), 1.0) * p
-            p = np.where(k <= depth_, better, p)
-        logs = np.zeros(len(points))
-        logs[end - 1] = np.log(np.maximum(p, 1e-12))[back.reshape(-1)]
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes), sizes - 1
+    def scores(self, langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each running text the sum of the natural logs of its characters' probabilities (its end included), and their number.
+
+        What was scored before is found in a table by slot; of n-grams that share a slot the last one stays there.
+        """
+        got = Windows(texts, np.array([seed(x) for x in langs], np.uint64))
+        slot = slots_of(got.keys)
+        logs = self.logs[slot].astype(np.float64)
+        missing = np.flatnonzero(self.held[slot] != got.keys)
+        if len(missing):
+            new, first, back = np.unique(got.keys[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            depth = got.depth[first]
+            p = np.full(len(new), 1 / 1024)
+            for k in range(1, ORDER + 1):
+                now = np.minimum(k, depth)
+                better = self._find(self.a, self.alpha, got.of(first, now), 0.0) + self._find(self.g, self.gamma, got.of(first, now - 1, 1), 1.0) * p
+                p = np.where(k <= depth, better, p)
+            fresh = np.log(np.maximum(p, 1e-12))
+            logs[missing] = fresh[back.reshape(-1)]
+            at = slots_of(new)
+            self.held[at] = new  # of several for a slot numpy keeps the last, here and in the next line
+            self.logs[at] = fresh
+        every = np.zeros(len(got.codes))
+        every[got.end - 1] = logs
+        return np.add.reduceat(every, np.cumsum(got.sizes) - got.sizes), got.sizes - 1
 
 
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
@@ -147,7 +191,10 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     n = len(ids) - window + 1
     key = np.zeros(n, np.uint64)
     for k in range(window):
-        key = hashed.mix((key + ids[k : k + n]) * _C)
+        key = (key + ids[k : k + n]) * _C
+    ordered = np.sort(key)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, back, many = np.unique(key, return_inverse=True, return_counts=True)
     edge = np.zeros(len(ids) + 1, np.int64)
     hit = np.flatnonzero(many[back.reshape(-1)] > 1)
@@ -171,25 +218,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
-        known: dict[str, tuple] = {}  # by language: word -> its number, and the scores of the numbers
         for rows in batches:
-            out: list = [None] * len(rows)
-            texts, langs = rows["_text"].tolist(), rows["_lang"].to_numpy()
-            if sum(len(x[0]) for x in known.values()) > HELD:
-                known.clear()
-            for lang in dict.fromkeys(langs):
-                at = np.flatnonzero(langs == lang)
-                vocabulary, logs, sizes = known.get(lang, ({}, np.empty(0), np.empty(0, np.int64)))
-                ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(texts[k])), np.int64) for k in at]
-                new = list(islice(vocabulary, len(logs), None))
-                for k in range(0, len(new), CHUNK):
-                    more = own.word_scores(lang, new[k : k + CHUNK])
-                    logs, sizes = np.concatenate([logs, more[0]]), np.concatenate([sizes, more[1]])
-                known[lang] = vocabulary, logs, sizes
-                for k, mine in zip(at, ids, strict=True):
-                    total = sizes[mine].sum()
-                    out[k] = (*base_counts(texts[k], mine.astype(np.uint64)), -logs[mine].sum() / total if total else None)
-            made = pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+            langs = rows["_lang"].tolist()
+            counts, texts = [], []
+            for text in rows["_text"]:
+                words = words_of(text)
+                counts.append(base_counts(text, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))))
+                texts.append(running(words))
+            logs, sizes = own.scores(langs, texts) if texts else (np.empty(0), np.empty(0))
+            made = pd.DataFrame(counts, columns=[c.split()[0] for c in COLUMNS.split(", ")][:-1])
+            made["log_perplexity"] = np.where(made["n_words"].to_numpy(np.int64) > 0, -logs / np.maximum(sizes, 1), np.nan)
+            made["log_perplexity"] = made["log_perplexity"].astype("Float64").mask(made["n_words"] == 0)
             made.insert(0, "lang", langs)
             made.insert(0, "_id", rows["_id"].to_numpy() if rows["_id"].notna().all() else rows["_id"].astype("Int64"))
             yield made
@@ -215,21 +254,25 @@ def sorted_arrays(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame) -> Model:
-    alpha, gamma = kneser_ney(stage(gram_counts(docs), "counts"))
-    return Model(*sorted_arrays(alpha, "alpha"), *sorted_arrays(gamma, "gamma"))
+    counts = stage(gram_counts(docs), "counts")
+    alpha, gamma = kneser_ney(counts)
+    made = Model(*sorted_arrays(alpha.select("lang", "gram", "alpha"), "alpha"), *sorted_arrays(gamma, "gamma"))
+    release(counts, alpha)
+    return made
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The counts and the verdict on every row.
 
-    A character 5-gram model of the words of each language (a null language is one of its own) is counted over all rows;
-    its perplexity of a text is per character. A row fails the base rules with fewer than 20 words or with over 30 % of
+    A character 5-gram model of the running texts of each language (words parted by one space; a null language is one of its
+    own), whose n-grams go on over spaces, is counted over all rows; its perplexity of a text is per character. A row fails the base rules with fewer than 20 words or with over 30 % of
     its words in repeated 8-word windows. Of the others those are kept whose log perplexity lies in their language's band,
     whose middle and width come from the quartiles over all rows of the language that pass the base rules. A language
     whose texts all score alike keeps them.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity. A null
-    text counts as empty and fails. Repeated rows are returned each; null ids stay. An empty table gives an empty result;
+    text counts as empty and fails (its log_perplexity is null). Very long texts are read whole, one batch of rows at a time.
+    Repeated rows are returned each, and texts that tie have one verdict; null ids stay. An empty table gives an empty result;
     other columns are ignored.
     """
     spark = docs.sparkSession

@@ -42,18 +42,16 @@ def test_empty_table(documents):
 
 
 def test_the_model_is_kneser_ney(documents, prose):
-    """Against the textbook formula, computed in Python from the same words."""
-    docs = documents([(k, prose(30)) for k in range(20)])
-    words = Counter(w for r in docs.collect() for w in r.text.split())
+    """Against the textbook formula, computed in Python from the same running texts."""
+    docs = documents([(k, "\n".join([prose(30), prose(3)])) for k in range(20)] + [(50, "x"), (51, "")])
     counts = {p.ORDER: Counter()}
     short = Counter()
-    for w, n in words.items():
-        own = p.START + w + p.END
-        for k in range(max(1, len(own) - p.ORDER + 1)):
-            g = own[k : k + p.ORDER]
-            (counts[p.ORDER] if len(g) == p.ORDER else short)[g] += n
-        for k in range(2, min(p.ORDER, len(own))):
-            short[own[:k]] += n
+    for r in docs.collect():
+        own = p.START + " ".join(r.text.split()) + p.END
+        for k in range(len(own) - p.ORDER + 1):
+            counts[p.ORDER][own[k : k + p.ORDER]] += 1
+        for k in range(2, min(p.ORDER, len(own) + 1)):
+            short[own[:k]] += 1
     for k in range(p.ORDER - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1]) + Counter({g: n for g, n in short.items() if len(g) == k and g.startswith(p.START)})
     d = {}
@@ -75,18 +73,54 @@ def test_the_model_is_kneser_ney(documents, prose):
         return alpha.get(context + char, 0) + max(1 - sum(alpha.values()), 1e-4) * lower
 
     model = p.train(docs.selectExpr("'en' AS _lang", "text AS _text"))
-    tried = [*list(words)[:6], "zzz", "a"]
-    logs, sizes = model.word_scores("en", [w.encode() for w in tried])
-    for w, found, size in zip(tried, logs, sizes, strict=True):
-        own = p.START + w + p.END
-        assert size == len(w) + 1
-        assert abs(found - sum(np.log(probability(own[max(0, k - p.ORDER + 1) : k], own[k])) for k in range(1, len(own)))) < 1e-3
-
-
-def test_pruning_keeps_the_most_frequent(documents, prose):
-    docs = documents([(k, prose(60)) for k in range(10)]).selectExpr("'en' AS _lang", "text AS _text")
-    alpha, _ = p.kneser_ney(p.gram_counts(docs), keep=50)
-    assert 0 < alpha.count() <= 50
+    tried = [prose(12), "zzz " + prose(2), "a", "", prose(12)]
+    for again in range(2):  # the second time from the table of scored n-grams
+        logs, sizes = model.scores(["en"] * len(tried), [p.running(p.words_of(x)) for x in tried])
+        for text, found, size in zip(tried, logs, sizes, strict=True):
+            own = p.START + text + p.END
+            assert size == len(text) + 1
+            assert abs(found - sum(np.log(probability(own[max(0, k - p.ORDER + 1) : k], own[k])) for k in range(1, len(own)))) < 1e-3, (again, text)
+
+
+def test_counts_of_grams_are_whole_where_slots_are_taken(documents, prose, monkeypatch):
+    monkeypatch.setattr(p, "SLOTS", 64)
+    docs = documents([(k, prose(40), "en" if k % 3 else "de") for k in range(30)])
+    want = Counter()
+    for r in docs.collect():
+        own = p.START + " ".join(r.text.split()) + p.END
+        want.update((r.lang, own[max(0, e - p.ORDER) : e]) for e in range(2, len(own) + 1))
+    got = {(r.lang, r.gram): r.n for r in p.gram_counts(docs.selectExpr("lang AS _lang", "text AS _text")).collect()}
+    assert got == want
+
+
+def test_the_order_of_words_counts(documents, prose):
+    """Sentences of a fixed grammar: the same words in another order score worse."""
+    rng = prose.rng
+    parts = [["the", "a"], ["old", "red", "big"], ["cat", "dog", "man"], ["sees", "eats"], ["one", "two"], ["figs", "nuts"]]
+    text = lambda: " ".join(rng.choice(x) for _ in range(12) for x in parts)
+    rows = [(k, text()) for k in range(200)]
+    own = text().split()
+    shuffled = own[:]
+    rng.shuffle(shuffled)
+    found = {r.doc_id: r for r in p.quality(documents([*rows, (900, " ".join(own)), (901, " ".join(shuffled))])).collect()}
+    assert found[901].log_perplexity > found[900].log_perplexity + 0.1
+    assert found[900].kept and not found[901].kept
+
+
+def test_long_texts_ties_and_repeated_rows(documents, prose):
+    long, same = prose(120_000), prose(100)
+    found = p.quality(documents([*[(k, prose(100)) for k in range(40)], (100, long), (101, same), (102, same), (102, same), (103, "é" * 400_000)])).collect()
+    assert len(found) == 45
+    one = {r.doc_id: r for r in found}
+    assert one[100].n_words == 120_000 and one[100].word_chars == len(long) - 119_999 and one[103].word_chars == 400_000
+    assert len({(r.kept, r.log_perplexity) for r in found if r.doc_id in (101, 102)}) == 1
+
+
+def test_a_small_language_keeps_its_words(documents, prose):
+    """Beside a far larger language the small one is scored by its own n-grams."""
+    rows = [(k, prose(200)) for k in range(300)] + [(1000 + k, " ".join(prose.rng.choice(["qux", "zyx", "wvu"]) for _ in range(30)), "xx") for k in range(3)]
+    found = {r.doc_id: r for r in p.quality(documents(rows)).collect()}
+    assert all(found[1000 + k].kept and found[1000 + k].log_perplexity < 1 for k in range(3))
 
 
 def test_the_model_keeps_every_counted_gram(documents, prose):
@@ -94,8 +128,8 @@ def test_the_model_keeps_every_counted_gram(documents, prose):
     alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
     text = lambda: " ".join("".join(prose.rng.choices(alphabet, k=8)) for _ in range(900))
     docs = documents([(k, text()) for k in range(120)]).selectExpr("'en' AS _lang", "text AS _text")
-    words = {p.START + w + p.END for r in docs.collect() for w in r["_text"].split()}
-    whole = {w[k : k + p.ORDER] for w in words for k in range(len(w) - p.ORDER + 1)}
+    texts = [p.running(p.words_of(r["_text"])) for r in docs.collect()]
+    whole = {x[k : k + p.ORDER] for x in texts for k in range(len(x) - p.ORDER + 1)}
     model = p.train(docs)
     assert len(whole) > 1 << 19 and len(model.a) > len(whole)
     assert not set(p.sorted_arrays(docs.sparkSession.createDataFrame([("en", g) for g in sorted(whole)[:1000]], "lang string, gram string").selectExpr("*", "1.0 AS alpha"), "alpha")[0].tolist()) - set(model.a.tolist())
