@@ -25,7 +25,11 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, lower-cased; other numbers than digits (as ``²``) end a run too."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -52,17 +56,36 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def gram_counts(words: DataFrame) -> DataFrame:
     """lang, word: an n-gram of 1 to LONGEST characters of `` word ``, n."""
 
+    def grams(lang: str, own: list[str], many: np.ndarray) -> Iterator[pd.DataFrame]:
+        codes, sizes = hashed.points([f" {w} " for w in own])
+        owner, place = np.repeat(np.arange(len(own)), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        for size in range(1, LONGEST + 1):
+            end = np.flatnonzero(place >= size - 1) + 1
+            if not len(end):
+                continue
+            _, first, back = np.unique(hashed.keys(np.zeros(len(end), np.uint64), codes, end, np.full(len(end), size), LONGEST), return_index=True, return_inverse=True)
+            n = np.bincount(back.reshape(-1), many[owner[end - 1]].astype(float)).astype(np.int64)
+            points = codes[(end[first] - size)[:, None] + np.arange(size)].astype("<u4")
+            yield pd.DataFrame({"lang": np.full(len(n), lang, object), "word": np.ascontiguousarray(points).view(f"<U{size}").reshape(-1).tolist(), "n": n})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for lang, rows in pd.concat(held).groupby("lang", sort=False):
+                yield from grams(lang, rows["word"].tolist(), rows["n"].to_numpy())
+            held.clear()
+
         for rows in batches:
-            seen: Counter = Counter()
-            for lang, word, n in zip(rows["lang"], rows["word"], rows["n"], strict=True):
-                own = f" {word} "
-                for size in range(1, LONGEST + 1):
-                    for k in range(len(own) - size + 1):
-                        seen[lang, own[k : k + size]] += n
-            yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["lang", "word", "n"])
+            if len(rows):
+                held.append(rows)
+            if sum(map(len, held)) >= CHUNK:
+                yield from flush()
+        if held:
+            yield from flush()
 
-    return words.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.sparkSession.sparkContext.defaultParallelism)
+    return words.repartition(parts, "word").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -173,8 +196,8 @@ def language_id(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str
     prediction.
 
     Returns doc_id, held_out (not ``train_on``), lang_pred ('und' if the text is null or has no letter, or nothing was
-    learned), score (the posterior; 0 for 'und'). Equal posteriors give the first language by name. Repeated rows are
-    returned each; null ids are held out if the condition is null. An empty table gives an empty result; other columns are
+    learned), score (the posterior; 0 for 'und'). Equal posteriors give the first language by name. Very long texts are read
+    whole. Repeated rows are returned each; null ids are held out if the condition is null. An empty table gives an empty result; other columns are
     ignored.
     """
     small_batches(docs.sparkSession)

@@ -24,22 +24,27 @@ def default_vocabulary() -> str:
 
 
 def encoder(path: str):
-    """text -> ids. Beside a ``.json`` vocabulary, its ``.tiktoken`` ranks give the same ids faster."""
-    import os
+    """text -> the ids that ``tokenizers`` gives for the vocabulary; strings of its special tokens give their ids.
 
-    ranks = path[: -len(".json")] + ".tiktoken"
-    if path.endswith(".json") and os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
+    Beside a ``.json`` vocabulary, its ``.tiktoken`` ranks give the same ids faster for texts without such a string.
+    """
+    import os
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+    whole = lambda text: own.encode(text, add_special_tokens=False).ids
+    ranks = path[: -len(".json")] + ".tiktoken"
+    if not (path.endswith(".json") and os.path.exists(ranks)):
+        return whole
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+    return lambda text: whole(text) if any(x in text for x in added) else fast(text)
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, vocabulary: str) -> DataFrame:
@@ -111,7 +116,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lengths, at most ``max_tokens`` numbers, is packed on the driver, and pieces find their slots by their rank among the
     pieces of their length, so no task and no driver holds more than a batch of pieces. Texts are tokenized once.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Repeated rows are packed each; a null id
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Very long texts are tokenized whole and lie in
+    many pieces. Repeated rows are packed each; pieces that tie in length take slots in the order of their ids; a null id
     stays null. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession

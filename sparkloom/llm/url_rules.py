@@ -67,14 +67,15 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     with its path. Range-partitioned by (host key, path, id), so one host may hold any share of the rows; each part is
     preceded by the rules of the ancestors of its first key (their number is bounded by parts times labels). Without a rule
     the verdict is ``default``. A null url or one without ``://`` has an empty host and path and fits no rule; rules with a
-    null host or path are ignored. Repeated rows are judged each. An empty table gives an empty result; other columns are
+    null or empty host or a null path are ignored. Of equally long rules the one with the longer host holds, of equal rules
+    with different actions the first action by name. Very long urls are judged whole. Repeated rows are judged each. An empty table gives an empty result; other columns are
     ignored.
     """
     spark = urls.sparkSession
     small_batches(spark)
     url = urls.select(F.col(id_col).alias("_ident"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
     url = url.select(host_key(F.col("_host")).alias("_key"), F.lit(1).alias("_is_url"), "_path", "_ident", "_host", F.lit(None).cast("string").alias("_action"), F.lit(None).cast("string").alias("_rule"))
-    rule = rules.filter("host is not null and path is not null and action is not null").select(
+    rule = rules.filter("host != '' and path is not null and action is not null").select(
         host_key(F.translate("host", UPPER, LOWER)).alias("_key"), F.lit(0).alias("_is_url"), F.col("path").alias("_path"), F.lit(None).cast(url.schema["_ident"].dataType).alias("_ident"), F.lit(None).cast("string").alias("_host"), F.col("action").alias("_action"), F.concat(F.translate("host", UPPER, LOWER), "path").alias("_rule")
     )
     order = ["_key", "_is_url", "_path", "_ident"]

@@ -35,7 +35,6 @@ def test_pieces_give_the_ids_back(documents, prose):
     rows = [(k, prose(prose.rng.randint(1, 900))) for k in range(40)] + [(100, None), (101, ""), (102, "é" * 5000), (103, "a  b\n\n c <|endoftext|>"), (104, prose(9000)), (7, "again")]
     found = packing.pack_documents(documents(rows)).collect()
     own = Tokenizer.from_file(packing.default_vocabulary())
-    own.encode_special_tokens = True
     sequences = defaultdict(list)
     pieces = defaultdict(list)
     for r in found:
@@ -66,5 +65,8 @@ def test_empty_table_repeated_rows_and_null_ids(documents):
 def test_both_tokenizers_give_the_same_ids(spark):
     own = Tokenizer.from_file(packing.default_vocabulary())
     fast = packing.encoder(packing.default_vocabulary())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", " <|endoftext|><|endoftext|>\n"):
+        assert fast(text) == own.encode(text, add_special_tokens=False).ids
+    assert 50256 in fast("a <|endoftext|> b")
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
         assert fast(r.text) == own.encode(r.text, add_special_tokens=False).ids
