@@ -83,6 +83,25 @@ def join_few(df: DataFrame, few: DataFrame, on: list[str], how: str, most: int =
     return df.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, on, how)
 
 
+#: A key is hot if it holds more than this part of all rows, so at most as many keys are; a hot key is dealt in pieces of about this part.
+PIECES = 10_000
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, on: list[str], size: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``by_key`` (a staged table of one row for each key), though one key may hold any share of the rows.
+
+    ``size``: a column of ``by_key`` with the number of ``rows`` of its key. The rows of a hot key are dealt by a hash of the
+    columns ``spread``, and its row of ``by_key`` is copied to each of its pieces: at most 2 * PIECES rows in all. What is
+    broadcast is a number of pieces for each of the at most PIECES hot keys, by hash.
+    """
+    whole = by_key.agg(F.sum(size)).first()[0] or 0
+    pieces = F.ceil(F.col("_held") * (PIECES / max(whole, 1))).cast("int")
+    hot = by_key.select(F.xxhash64(*on).alias("_hash"), F.col(size).alias("_held")).groupBy("_hash").agg(F.sum("_held").alias("_held")).filter(F.col("_held") * PIECES > whole).select("_hash", pieces.alias("_pieces"))
+    few = by_key.withColumn("_hash", F.xxhash64(*on)).join(F.broadcast(hot), "_hash", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
+    many = rows.withColumn("_hash", F.xxhash64(*on)).join(F.broadcast(hot), "_hash", "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int"), F.lit(0)))
+    return many.drop("_hash", "_pieces").join(few.drop("_hash", "_pieces"), [*on, "_piece"], how).drop("_piece")
+
+
 def dense_rank_in(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within each value of ``keys``, without one task per key.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stage
+from .common import join_hot, release, small_batches, stage
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -20,6 +20,8 @@ REGISTERS, BAND, MANTISSA = 128, 4, 10
 DEVIATIONS = 4.5
 #: Members of a bucket, and elements of their sets, that one task compares; larger buckets are compared in pairs of blocks.
 BLOCK, BLOCK_ELEMENTS = 2048, 1_000_000
+#: Partners that a bucket's smallest is verified with at once: its set moves once for so many.
+PARTNERS = 512
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -142,8 +144,10 @@ def _regs(column) -> np.ndarray:
 
 def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose registers leave a link possible."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    own = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    first = stage(reps.join(own, reps.rep == own.a).select("a", F.col("n").alias("n_a"), F.col("regs").alias("r_a"), "degree"), "pivots")
+    second = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b"))
+    near = join_hot(pairs, first, ["a"], "degree", ["b"]).join(second, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -154,14 +158,16 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, elements (the sorted hashes, 8 bytes each) of the rows of ``docs`` whose id is in ``ids``.rep."""
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text")).join(ids, "rep", "left_semi")
+    """rep, elements (the sorted hashes, 8 bytes each) of the rows of ``docs`` with an id in ``ids``.rep and that row's set (f1)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text")).join(ids, "rep")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"rep": rows["rep"], "elements": [shingle_set(x).tobytes() for x in rows["_text"]]})
+            out = [(rep, own) for rep, own, f in zip(rows["rep"], (shingle_set(x).tobytes() for x in rows["_text"]), rows["f1"], strict=True) if (xxhash.xxh3_128_intdigest(own) >> 64) - 2**63 == f]
+            if out:
+                yield pd.DataFrame(out, columns=["rep", "elements"])
 
-    return texts.mapInPandas(made, "rep long, elements binary")
+    return texts.select("rep", "_text", "f1").mapInPandas(made, "rep long, elements binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -173,30 +179,28 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose full sets are similar.
 
-    The sets meet as two rows for each pair, streamed in the order of the pairs; a task holds one pair.
+    Pairs with one ``a`` are taken PARTNERS at a time, and its set moves once for them; a task holds that set and streams
+    the others.
     """
-    sides = pairs.select(F.col("a").alias("rep"), "a", "b").unionByName(pairs.select(F.col("b").alias("rep"), "a", "b"))
-    met = sets.join(sides, "rep").repartition("a", "b").sortWithinPartitions("a", "b", "rep")
+    own = stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    dealt = join_hot(pairs, own, ["a"], "degree", ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / PARTNERS)).alias("part"))
+    first = own.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("degree") / PARTNERS) - 1)).alias("part"), F.lit(0).alias("turn"))
+    sides = first.unionByName(dealt.select(F.col("b").alias("rep"), "a", "part", F.lit(1).alias("turn")))
+    met = sets.join(sides, "rep").repartition("a", "part").sortWithinPartitions("a", "part", "turn", "rep")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair, own = None, {}
-
-        def linked() -> bool:
-            return len(own) == 2 and similar(*own.values(), percent)
-
+        at, pivot = None, None
         for rows in batches:
             out = []
-            for rep, elements, a, b in zip(rows["rep"], rows["elements"], rows["a"], rows["b"], strict=True):
-                if (a, b) != pair:
-                    if linked():
-                        out.append(pair)
-                    pair, own = (a, b), {}
-                own[rep] = np.frombuffer(elements, np.uint64)
+            for rep, elements, a, turn in zip(rows["rep"], rows["elements"], rows["a"], rows["turn"], strict=True):
+                own = np.frombuffer(elements, np.uint64)
+                if turn == 0:
+                    at, pivot = a, own
+                elif at == a and similar(pivot, own, percent):
+                    out.append((a, rep))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if linked():
-            yield pd.DataFrame([pair], columns=["a", "b"], dtype="int64")
 
-    return met.select("rep", "elements", "a", "b").mapInPandas(confirm, "a long, b long")
+    return met.select("rep", "elements", "a", "turn").mapInPandas(confirm, "a long, b long")
 
 
 def links_between(members: DataFrame, percent: int) -> DataFrame:
@@ -266,29 +270,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        estimate and then on the full sets, and only links that join components leave the task. So copies that step 2 has
        joined aren't compared again, and no link between components that met in any bucket is lost.
 
-    Returns doc_id, n_shingles, component_id, kept. Rows with one id and different texts count as linked; repeated rows are
-    returned each. Null ids are returned, never chosen. An empty table gives an empty result; other columns are ignored.
+    Returns doc_id, n_shingles, component_id, kept. Rows with one id and different texts count as linked, and if that id
+    stands for several classes its links to others come from one of them (the least by hash); repeated rows are returned
+    each. Very long texts are sets like others, one text at a time. Null ids are returned, never chosen. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     feats = stage(features(docs, id_col, text_col), "features")
-    classes = feats.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = stage(feats.filter("n > 0").join(classes.select("f1", "f2", "rep"), [feats.doc_id == F.col("rep"), feats.f1 == classes.f1, feats.f2 == classes.f2]).select("rep", "n", "regs", "bands").dropDuplicates(["rep"]), "reps")
+    classes = stage(feats.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    held = [feats.doc_id == classes.rep, feats.f1 == classes.f1, feats.f2 == classes.f2]
+    reps = feats.filter("n > 0").join(classes, held, "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct("f1", "f2", "n", "regs", "bands")).alias("own"))
+    reps = stage(reps.select("rep", "own.f1", "own.n", "own.regs", "own.bands"), "reps")
     bands = reps.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
-    buckets = stage(bands.drop("n").join(shared, "key"), "buckets")
-    star = buckets.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = stage(sets_of(buckets.select("rep").distinct(), docs, id_col, text_col), "sets")
-    links = stage(verified(estimated(star, reps, percent), sets, percent), "links")
+    shared = stage(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1"), "shared")
+    buckets = stage(join_hot(bands.drop("n"), shared, ["key"], "size", ["rep"]), "buckets")
+    star = stage(buckets.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    sets = stage(sets_of(reps.select("rep", "f1").join(buckets.select("rep").distinct(), "rep"), docs, id_col, text_col), "sets")
+    near = stage(estimated(star, reps, percent), "near")
+    links = stage(verified(near, sets, percent), "links")
     found = stage(components(links), "components")
-    large = buckets.filter("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = large.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo != _hi").select("key")
-    members = large.join(open_, "key", "left_semi").join(reps, "rep").join(sets, "rep")
+    large = stage(buckets.filter("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "large")
+    open_ = stage(large.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_rows")).filter("_lo != _hi").select("key", "_rows"), "open")
+    members = join_hot(large, open_, ["key"], "_rows", ["rep"]).drop("_rows").join(reps.drop("f1"), "rep").join(sets, "rep")
     more = stage(links_between(members, percent), "between")
     if not more.isEmpty():
         found = stage(components(links.unionByName(more)), "components")
-    release(buckets, links, more, sets)
-    whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("label", "rep").alias("_component"))
-    out = feats.select("doc_id", "n", "f1", "f2").join(whole, ["f1", "f2"], "left")
+    release(shared, buckets, star, near, links, large, open_, more, sets)
+    whole = stage(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("label", "rep").alias("_component"), "rows"), "whole")
+    named = join_hot(feats.filter("n > 0").select("doc_id", "n", "f1", "f2"), whole, ["f1", "f2"], "rows", ["doc_id"], "left").select("doc_id", "n", "_component")
+    out = named.unionByName(feats.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("_component")))
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

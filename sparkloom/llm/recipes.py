@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_hot, stage
 
 #: A chunk ends after 64 to 1024 characters: at a line end or where three neighbouring characters fall into these classes
 #: (about one place in sixty of prose), so that an edit moves the boundaries near it only. What is left at the end is a chunk.
@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns a row for each row of ``docs``: doc_id, keep_id (largest id of the rows with that text), group_size, kept,
     text_sha256. A null text counts as empty; empty texts are equal. Repeated rows (same id and text) are each returned and
-    count each; if their id is the largest they are all kept. A null id is smaller than any other. An empty table gives an
+    count each; if their id is the largest they are all kept. A null id is smaller than any other. Very long texts are many chunks. An empty table gives an
     empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -57,8 +57,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         hit = made.select("_id", "_sha", F.explode("_recipe").alias("_chunk_id")).join(shared, "_chunk_id", "left_semi").select("_sha").distinct()
         made = made.join(hit.withColumn("_fix", F.col("_sha")), "_sha", "left").withColumn("_fix", F.coalesce("_fix", F.lit("")))
     key = ["_recipe", "_size", "_fix"]
-    groups = made.groupBy(*key).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    out = made.join(groups, key, "left")
+    groups = stage(made.groupBy(*key).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "groups")
+    out = join_hot(made, groups, key, "_n", ["_id"], "left")
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(
         F.col("_id").alias("doc_id"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_in, small_batches, stage
+from .common import dense_rank_in, join_hot, small_batches, stage
 
 #: Sizes up to EXACT are classes of their own; above, a class spans 1/1024 of its size. So there are at most 65,536 + 47 * 1,024 classes.
 EXACT, FINE = 65_536, 10
@@ -160,7 +160,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     small_batches(spark, 10_000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     one = stage(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_group")), "sized")
-    groups = stage(one.groupBy("_group").agg(F.sum("size").alias("_bytes")), "groups")
-    placed = pack_groups(groups, "_bytes", ["_group"], shards, None, "_shard").select("_group", "_shard")
-    rows = dense_rank_in(one.join(placed, "_group"), ["_shard"], ["doc_id", "_group"], "slot", max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    groups = stage(one.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")), "groups")
+    placed = stage(pack_groups(groups, "_bytes", ["_group"], shards, None, "_shard").select("_group", "_shard", "_rows"), "placed")
+    rows = dense_rank_in(join_hot(one, placed, ["_group"], "_rows", ["doc_id"]), ["_shard"], ["doc_id", "_group"], "slot", max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -105,3 +105,27 @@ def test_components(spark, edges):
         for x in group:
             reach[x] = group
     assert found == {k: min(v) for k, v in reach.items()}
+
+
+def test_very_long_texts(documents, prose):
+    long = prose(60_000)
+    found = {r.doc_id: r for r in h.near_dedup(documents([(1, long), (2, long + " end"), (3, prose(60_000)), (4, "")])).collect()}
+    assert [found[k].component_id for k in (1, 2, 3, 4)] == [1, 1, 3, 4] and found[4].n_shingles == 0
+
+
+def test_one_smallest_with_many_partners(documents, prose, monkeypatch):
+    """More partners of one class than are verified at once: every link is found."""
+    monkeypatch.setattr(h, "PARTNERS", 3)
+    text = prose(200).split()
+    rows = [(k, " ".join([*text[:-1], f"last{k}"])) for k in range(40)]
+    assert {r.component_id for r in h.near_dedup(documents(rows)).collect()} == {0}
+
+
+def test_a_hot_key_joins_like_any_other(spark):
+    from sparkloom.llm.common import join_hot
+
+    rows = spark.createDataFrame([("hot", k) for k in range(5000)] + [(f"k{k}", k) for k in range(300)] + [("none", 1), (None, 2)], "key string, id long")
+    few = rows.groupBy("key").count().filter("count > 0 and key != 'none'").withColumnRenamed("key", "key")
+    got = join_hot(rows, few, ["key"], "count", ["id"])
+    assert got.count() == 5300 and got.filter("key = 'hot' and count = 5000").count() == 5000
+    assert join_hot(rows, few, ["key"], "count", ["id"], "left").count() == 5302
