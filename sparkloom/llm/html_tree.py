@@ -12,14 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import join_hot, small_batches, stage
 from .url_rules import host_of
 
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math noframes xmp".split())
+RAW = frozenset("script style title textarea noscript iframe template svg noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option select".split())
-NOISE = frozenset("head nav footer aside form script style title noscript iframe template svg math button select option textarea menu dialog search fieldset object canvas audio video".split())
+NOISE = frozenset("head nav footer aside form script style title noscript iframe template svg button select option textarea menu dialog search fieldset object canvas audio video".split())
 ENDS_P = BLOCK - frozenset("body html option select".split())
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 LIMITS = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
@@ -29,15 +29,20 @@ breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies conse
 subscription signup social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies discussion widget widgets toolbar pagination
 pager login search contentinfo complementary dialog form hidden copyright disclaimer""".split())
 HEADERS = frozenset(["header", "pageheader", "siteheader"])
-KEEP = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: Whole class names and ids that even inside an article name what isn't its text.
+NAMED_WITHIN = frozenset("ad ads advert advertisement adbox sponsored promo comment comments comment-list commentlist comments-area replies respond disqus_thread share sharing share-buttons social-share newsletter newsletter-signup related-posts related-articles".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|(?P<text>[^<]+|<)""", re.S)
 REST = re.compile(r"<!--.*|(?P<text>(?:(?!<!--).)+)(?P<data>)(?P<tag>\b\B)?", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[^a-z]+")
 
-#: A branch needs so many different pages before it is judged; below LEAST of the entropy that these could have, it goes.
-PAGES, LEAST, PRESENTATION = 4, 0.3, 0.1
+#: A branch is judged on a host where so many different pages have its path. Its importance is a mean, PRESENTATION parts of
+#: it presentation and the rest content, times NAMED_WEIGHT if it names itself as something else; below LEAST it goes.
+PAGES, PRESENTATION, NAMED_WEIGHT, LEAST = 4, 0.1, 0.05, 0.1
+#: So many unimportant contents are broadcast (8 bytes each); more are joined to the pages.
+MOST = 500_000
 BY_KIND, BY_NAME = 1, 2
 TAG, PARENT, NOISY, PATH, LABEL, LINKED, LINKS, CHARS, WITHIN = range(9)
 
@@ -121,11 +126,13 @@ class Page:
             if tag in BLOCK:
                 flush()
             parent = stack[-1]
-            names, hidden = self._names(found["attrs"]) if found["attrs"] else ((), False)
+            names, whole, hidden = self._names(found["attrs"]) if found["attrs"] else ((), (), False)
             above = nodes[parent]
             within = tag in ("article", "main") or above[WITHIN]
             noisy = BY_KIND if hidden or tag in NOISE or (tag == "header" or not HEADERS.isdisjoint(names)) and not within else 0
-            noisy = noisy or (BY_NAME if tag not in ("html", "body", "main") and not NAMED.isdisjoint(names) else 0)
+            if not noisy and tag not in ("html", "body", "main"):
+                named = tag not in TEXTUAL and not NAMED_WITHIN.isdisjoint(whole) if above[WITHIN] else not NAMED.isdisjoint(names)
+                noisy = BY_NAME if named else 0
             label = f"{tag}.{'.'.join(names)}"
             nodes.append([tag, parent, noisy, xxhash.xxh64_intdigest(f"{above[PATH]}/{label}") - 2**63, label, 0, int(tag == "a"), 0, within])
             stack.append(len(nodes) - 1)
@@ -133,21 +140,23 @@ class Page:
         flush()
 
     @staticmethod
-    def _names(attrs: str) -> tuple[tuple, bool]:
-        names, hidden = [], False
+    def _names(attrs: str) -> tuple[tuple, tuple, bool]:
+        """The words of class, id and role, the whole names, and whether the element is hidden."""
+        names, whole, hidden = [], [], False
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 hidden = True
             elif name in ("class", "id", "role"):
                 names += [x for x in PARTS.split(value) if x]
-        return tuple(dict.fromkeys(names)), hidden
+                whole += value.split()
+        return tuple(dict.fromkeys(names)), tuple(whole), hidden
 
     def sums(self) -> None:
-        """Characters, links and linked characters of whole branches, and which are noise.
+        """Characters, links and linked characters of whole branches, and which of them are no text whatever the host's pages say.
 
-        A branch of links alone is a menu. A name counts for nothing on a branch around the page's first heading, its main
-        element or its only article: such a name speaks of the layout.
+        A branch of links alone, outside articles and main elements, is a menu. A name counts for nothing on a branch around
+        the page's first heading, its main element or its only article: such a name speaks of the layout.
         """
         nodes = self.nodes
         alone = sum(node[TAG] == "article" and not node[NOISY] for node in nodes) == 1
@@ -163,35 +172,58 @@ class Page:
                 above[k] += node[k]
         for k in range(1, len(nodes)):
             node = nodes[k]
-            menu = (node[TAG] in ("ul", "ol", "div", "table", "section") or node[TAG] == "p" and not node[WITHIN]) and node[LINKS] >= 3 and node[LINKED] >= 0.7 * node[CHARS]
-            node[NOISY] = bool(nodes[node[PARENT]][NOISY] or node[NOISY] == BY_KIND or node[NOISY] == BY_NAME and not core[k] or menu)
-
-    def scope(self) -> list[bool]:
-        """Which elements lie in the page's articles; without any in its main elements, else everywhere."""
-        for tag in ("article", "main", None):
-            inside = [tag is None]
+            menu = not node[WITHIN] and node[TAG] in ("ul", "ol", "div", "table", "section", "p") and node[LINKS] >= 3 and node[LINKED] >= 0.7 * node[CHARS]
+            if menu or nodes[node[PARENT]][NOISY] == BY_KIND:
+                node[NOISY] = BY_KIND
+            elif node[NOISY] == BY_NAME and core[k]:
+                node[NOISY] = 0
+
+    def gone(self, removed: frozenset | set = frozenset()) -> list[bool]:
+        """Which elements leave: those of no text, those whose name alone makes them unimportant, those of ``removed``, and what they hold."""
+        out = [False]
+        for node, (path, content) in zip(self.nodes[1:], self.contents()[1:], strict=True) if removed else ((n, (0, 0)) for n in self.nodes[1:]):
+            out.append(out[node[PARENT]] or node[NOISY] == BY_KIND or node[NOISY] == BY_NAME and NAMED_WEIGHT < LEAST or (path, content) in removed)
+        return out
+
+    def scope(self, gone: list[bool]) -> list[bool]:
+        """Which elements lie in the page's articles if these hold half of the main element's text (or there is none), else in the main element, else everywhere."""
+        inside = {}
+        for tag in ("article", "main"):
+            inside[tag] = [False]
             for node in self.nodes[1:]:
-                inside.append(inside[node[PARENT]] or node[TAG] == tag)
-            if any(inside[k] and not self.nodes[k][NOISY] for k, _ in self.blocks):
-                return inside
-        return inside
-
-    def branches(self) -> Iterator[tuple[int, int, int]]:
-        """(path, presentation, content) hashes of the branches that the style tree may remove."""
-        inside, style, content = self.scope(), [[] for _ in self.nodes], [[] for _ in self.nodes]
+                inside[tag].append(inside[tag][node[PARENT]] or node[TAG] == tag)
+        size = {tag: sum(len(text) for k, text in self.blocks if own[k] and not gone[k]) for tag, own in inside.items()}
+        if size["article"] and 2 * size["article"] >= size["main"]:
+            return inside["article"]
+        return inside["main"] if size["main"] else [True] * len(self.nodes)
+
+    def contents(self) -> list[tuple[int, int]]:
+        """The path and a hash of the whole text of every element (0 if it has none)."""
+        held: list[list[int]] = [[] for _ in self.nodes]
         for k, text in self.blocks:
-            content[k].append(xxhash.xxh64_intdigest(text))
-        for k in range(len(self.nodes) - 1, 0, -1):
-            node = self.nodes[k]
-            style[node[PARENT]].append(node[LABEL])
-            content[node[PARENT]] += [xxhash.xxh64_intdigest(repr(content[k]))] if content[k] else []
-            if inside[k] and node[CHARS] and not node[NOISY] and node[TAG] not in KEEP and node[TAG] in BLOCK and node[TAG] not in ("html", "body", "article", "main"):
-                yield node[PATH], xxhash.xxh64_intdigest(repr(style[k])) - 2**63, xxhash.xxh64_intdigest(repr(content[k])) - 2**63
+            held[k].append(xxhash.xxh64_intdigest(text))
+        out = [(0, 0)] * len(self.nodes)
+        for k in range(len(self.nodes) - 1, -1, -1):
+            if held[k]:
+                out[k] = self.nodes[k][PATH], xxhash.xxh64_intdigest(repr(held[k])) - 2**63
+                if k:
+                    held[self.nodes[k][PARENT]].append(out[k][1])
+        return out
 
-    def text(self, removed: frozenset) -> str:
-        inside, gone = self.scope(), [False]
+    def branches(self) -> Iterator[tuple[int, int, int]]:
+        """(path, presentation, content) of every element with text that isn't gone anyway: paragraphs, headings, articles and all others."""
+        style: list[list[str]] = [[] for _ in self.nodes]
         for node in self.nodes[1:]:
-            gone.append(gone[node[PARENT]] or node[NOISY] or node[PATH] in removed)
+            style[node[PARENT]].append(node[LABEL])
+        gone, contents = self.gone(), self.contents()
+        for k in range(1, len(self.nodes)):
+            if contents[k][1] and not gone[k]:
+                yield contents[k][0], xxhash.xxh64_intdigest(repr(style[k])) - 2**63, contents[k][1]
+
+    def text(self, removed: frozenset | set = frozenset()) -> str:
+        """The blocks that stay. The page's scope is found before the host's contents leave, so that these never decide it."""
+        first = self.gone()
+        inside, gone = self.scope(first), self.gone(removed) if removed else first
         return "\n".join(text for k, text in self.blocks if inside[k] and not gone[k])
 
 
@@ -202,65 +234,81 @@ def parsed(source: str | None) -> Page:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """_id, _host, path, style, content, page: the branches of every page of a known host."""
+    """_id, _site, path, style, content, page: the branches of every page of a known host; pages with the same text left are one page."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for ident, host, source in zip(rows["_id"], rows["_host"], rows["_html"], strict=True):
-                own = [*parsed(source).branches()]
-                whole = xxhash.xxh64_intdigest(repr(own)) - 2**63
-                out += [(ident, host, *x, whole) for x in own]
-            yield pd.DataFrame(out, columns=["_id", "_host", "path", "style", "content", "page"])
+            for ident, site, source in zip(rows["_id"], rows["_site"], rows["_html"], strict=True):
+                page = parsed(source)
+                whole = xxhash.xxh64_intdigest(page.text()) - 2**63
+                out += [(ident, site, *x, whole) for x in dict.fromkeys(page.branches())]
+            if out:
+                yield pd.DataFrame(out, columns=["_id", "_site", "path", "style", "content", "page"])
 
     kind = dict(pages.dtypes)["_id"]
-    return pages.filter("_host != '' and _id is not null").mapInPandas(made, f"_id {kind}, _host string, path long, style long, content long, page long")
+    return pages.filter("_site is not null").select("_id", "_site", "_html").mapInPandas(made, f"_id {kind}, _site long, path long, style long, content long, page long")
 
 
 def unimportant(nodes: DataFrame) -> DataFrame:
-    """(_host, path) of the branches whose importance is below LEAST.
+    """(_site, path, content, rows) of the branches whose importance is below LEAST; rows: how many of ``nodes`` they are.
 
-    The importance is a weighted mean of the entropies of a branch's presentations (the sequences of its child elements)
-    and of its contents over the different pages that have it, as shares of the largest possible entropy.
+    Over the m different pages of a host that have a path, its presentation's importance is the entropy of the sequences of
+    child elements, as a share of log m; a content's importance is 1 less the entropy of its spread over the pages: it lies
+    on c of them alike, so 1 - log c / log m. Pages are counted in parts, so a host may hold any share of them.
     """
-    each = nodes.select("_host", "path", "style", "content", "page").distinct()
-    pages = each.select("_host", "path", "page").distinct().groupBy("_host", "path").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= PAGES)
-
-    def entropy(column: str) -> DataFrame:
-        counts = each.groupBy("_host", "path", column).agg(F.count(F.lit(1)).alias("c"))
-        n = F.sum("c")
-        return counts.groupBy("_host", "path").agg(F.when(n > 1, (F.log(n.cast("double")) - F.sum(F.col("c") * F.log(F.col("c").cast("double"))) / n) / F.log(n.cast("double"))).otherwise(1.0).alias(column))
-
-    both = pages.join(entropy("style"), ["_host", "path"]).join(entropy("content"), ["_host", "path"])
-    return both.filter(PRESENTATION * F.col("style") + (1 - PRESENTATION) * F.col("content") < LEAST).select("_host", "path")
+    where = ["_site", "path"]
+    pages = nodes.select(*where, "page").distinct().groupBy(*where).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= PAGES)
+    styles = nodes.select(*where, "style", "page").distinct().groupBy(*where, "style").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    n = F.sum("c")
+    styles = styles.groupBy(*where).agg(((F.log(n) - F.sum(F.col("c") * F.log("c")) / n) / F.log(F.greatest(n, F.lit(2.0)))).alias("style"))
+    contents = nodes.groupBy(*where, "content", "page").agg(F.count(F.lit(1)).alias("rows")).groupBy(*where, "content").agg(F.count(F.lit(1)).alias("c"), F.sum("rows").alias("rows")).filter(F.col("c") > 1)
+    own = 1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double"))
+    judged = contents.join(pages, where).filter((1 - PRESENTATION) * own < LEAST).join(styles, where)
+    return judged.filter(PRESENTATION * F.col("style") + (1 - PRESENTATION) * own < LEAST).select(*where, "content", "rows")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page.
 
-    Branches leave a page in two ways: those that name themselves as something else (nav, footer, aside, form, scripts,
-    advert, comment and like classes, page headers, lists of links) have no importance at all; the others are merged by
-    host and path into a style tree, and those whose presentation and content vary little over at least PAGES different
-    pages are removed. Paragraphs and headings in the article stay. If a page has articles (else main elements), only these
-    count. Blocks are joined by line feeds; a line break inside a block is white space.
-
-    Returns the id, the url, text (empty if none) and n_chars. A null html is empty; pages without a host have no tree.
-    Repeated rows are returned each; rows with a null id are extracted without the tree. An empty table gives an empty
-    result; other columns are ignored.
+    What is no text by its kind leaves (scripts, forms, nav, header, footer, aside, hidden elements, menus of links). All
+    other elements, with paragraphs, headings and articles, are merged by host and path into a style tree. An element's
+    importance comes from the entropies of its presentation and content over the host's different pages (those with the
+    same text left are one page), and names that speak of something else (advert, sidebar, cookie notice; inside an article
+    only whole names like ``comments``, and never on paragraphs) weigh it down; below LEAST it leaves the page. The text is
+    that of the articles, or of the main element where these hold less than half of its text, else of the whole page.
+    Blocks are joined by line feeds; a line break inside a block is white space.
+
+    Returns the id, the url, text (empty if none) and n_chars. A null html is empty; pages without a host have only the
+    weights of names, as have those with a null id. Very long pages are read whole, one batch of rows at a time. Repeated
+    rows are returned each and count as one page. An empty table gives an empty result; other columns are ignored.
     """
     small_batches(pages.sparkSession, 500)
-    one = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
+    host = host_of(F.col(url_col))
+    site = F.when((host != "") & F.col(id_col).isNotNull(), F.xxhash64(host))
+    one = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), site.alias("_site"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     nodes = stage(style_nodes(one), "nodes")
     noise = stage(unimportant(nodes), "noise")
-    if noise.isEmpty():
-        ready = one.select("_id", "_url", "_html", F.lit(None).cast("array<long>").alias("_removed"))
+    few = noise.limit(MOST + 1).count() <= MOST
+    if few:
+        by_site: dict[int, set] = {}
+        for r in noise.select("_site", "path", "content").collect():
+            by_site.setdefault(r[0], set()).add((r[1], r[2]))
+        shared = pages.sparkSession.sparkContext.broadcast(by_site)
+        ready = one.select("_id", "_url", "_html", F.coalesce("_site", F.lit(0)).alias("_site"), F.lit(None).cast("array<long>").alias("_paths"), F.lit(None).cast("array<long>").alias("_contents"))
     else:
-        marks = nodes.join(noise, ["_host", "path"], "left_semi").groupBy("_id").agg(F.collect_set("path").alias("_removed"))
-        ready = one.join(marks, "_id", "left").select("_id", "_url", "_html", "_removed")
+        shared = None
+        met = join_hot(nodes.select("_id", "_site", "path", "content"), noise, ["_site", "path", "content"], "rows", ["_id"])
+        marks = met.groupBy("_id").agg(F.collect_list("path").alias("_paths"), F.collect_list("content").alias("_contents"))
+        ready = one.join(marks, "_id", "left").select("_id", "_url", "_html", F.coalesce("_site", F.lit(0)).alias("_site"), "_paths", "_contents")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value if shared else {}
         for rows in batches:
-            texts = [parsed(h).text(frozenset() if r is None else frozenset(map(int, r))) for h, r in zip(rows["_html"], rows["_removed"], strict=True)]
+            texts = []
+            for source, site, paths, contents in zip(rows["_html"], rows["_site"], rows["_paths"], rows["_contents"], strict=True):
+                removed = known.get(site, frozenset()) if paths is None else frozenset(zip(map(int, paths), map(int, contents), strict=True))
+                texts.append(parsed(source).text(removed))
             ident = rows["_id"].to_numpy() if rows["_id"].notna().all() else rows["_id"].astype("Int64")
             yield pd.DataFrame({"_id": ident, "_url": rows["_url"].to_numpy(), "text": texts}, columns=["_id", "_url", "text"])
 
