@@ -25,21 +25,30 @@ FROM d JOIN g ON d.t = g.t
 
 
 def _license_sql() -> str:
-    from .licenses import RULES, SENTENCES
+    from .licenses import NOTICE, RULES, SENTENCES, SPDX, called, patterns
 
     sentences = ", ".join(f"('{name}', '{value}')" for name, value in SENTENCES.items())
-    rules = ", ".join(f"('{name}', ',{','.join(ids)},')" for name, ids in RULES)
-    longest = 2 * max(map(len, SENTENCES.values()))
+    rules = ", ".join(f"('{name}', ',{','.join(ids)},')" for name, ids in [*RULES, *((x, (NOTICE + x,)) for x in sorted(set(called().values())))])
+    names = ", ".join(f"('{name}', '{NOTICE}{ident}')" for name, ident in called().items())
+    notice, expression, each = patterns()
     ends = r"regexp_replace({0}, '([.!?;])[ \t\r\f]+', '\1' || chr(10), 'g')"
     normal = "trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 WITH known(name, sentence) AS (VALUES {sentences}),
+called(name, ident) AS (VALUES {names}),
 rules(licence, ids) AS (VALUES {rules}),
 texts AS (SELECT doc_id, 0 AS reading, coalesce(text, '') AS t FROM documents
           UNION ALL SELECT doc_id, 1, regexp_replace(coalesce(text, ''), '[ \\t\\r\\n\\f]+', ' ', 'g') FROM documents),
 parts AS (SELECT doc_id, reading, unnest(string_split({ends.format('t')}, chr(10))) AS s, generate_subscripts(string_split({ends.format('t')}, chr(10)), 1) AS place FROM texts),
-found AS (SELECT p.doc_id, p.reading, p.place, k.name FROM (SELECT doc_id, reading, place, {normal} AS n FROM parts WHERE length(s) BETWEEN 3 AND {longest}) p JOIN known k ON p.n = k.sentence),
-readings AS (SELECT doc_id, reading, string_agg(name, ',' ORDER BY place) AS ids, count(*) AS n FROM found GROUP BY doc_id, reading),
+normed AS (SELECT doc_id, reading, place, {normal} AS n FROM parts WHERE length(s) >= 3),
+told AS (SELECT doc_id, reading, place, n FROM normed WHERE n IN (SELECT sentence FROM known) OR contains(n, ' under ') OR contains(n, 'covered by ') OR contains(n, 'governed by ') OR contains(n, ' or ') OR contains(n, ' and ') OR contains(n, '{SPDX}')),
+named AS (SELECT t.doc_id, t.reading, t.place,
+                 CASE WHEN contains(n, '{SPDX}') OR regexp_matches(n, '{expression}') THEN regexp_extract_all('or ' || n, '{each}', 1) ELSE [regexp_extract(n, '{notice}', 1)] END AS xs
+          FROM told t WHERE n NOT IN (SELECT sentence FROM known)),
+listed AS (SELECT doc_id, reading, place, unnest(xs) AS x, generate_subscripts(xs, 1) AS turn FROM named),
+found AS (SELECT t.doc_id, t.reading, t.place, 0 AS turn, k.name FROM told t JOIN known k ON t.n = k.sentence
+          UNION ALL SELECT l.doc_id, l.reading, l.place, l.turn, c.ident FROM listed l JOIN called c ON c.name = l.x),
+readings AS (SELECT doc_id, reading, string_agg(name, ',' ORDER BY place, turn) AS ids, count(*) AS n FROM found GROUP BY doc_id, reading),
 best AS (SELECT doc_id, ids, n FROM readings QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, reading) = 1),
 fits AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses FROM best JOIN rules r ON contains(',' || best.ids || ',', r.ids) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(b.ids, '') AS sentence_ids, coalesce(b.n, 0) AS n_sentences, coalesce(f.licenses, '') AS licenses

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from sparkloom.llm import licenses, recipes
 
 
@@ -53,7 +55,7 @@ def test_licenses(documents):
         (7, "All rights reserved. Licensed under the Apache License, Version 2.0."), (8, "We released under the MIT license a thing."), (9, s["mit-grant"] + ".\nsomething between.\n" + mit[len(s["mit-grant"]) + 2 :]), (10, wrapped), (None, "SPDX-License-Identifier: MIT"),
     ]
     found = {r.doc_id: r for r in licenses.license_scan(documents(rows)).collect()}
-    assert [found[k].licenses for k, _ in rows] == ["MIT", "MIT", "MIT", "", "", "", "All-Rights-Reserved,Apache-2.0", "", "MIT", "MIT", "MIT"]
+    assert [found[k].licenses for k, _ in rows] == ["MIT", "MIT", "MIT", "", "", "", "All-Rights-Reserved,Apache-2.0", "MIT", "MIT", "MIT", "MIT"]
     assert found[4].n_sentences == 4 and found[7].sentence_ids == "reserved,apache-notice"
 
 
@@ -126,3 +128,15 @@ def test_standard_texts_as_they_are_wrapped(documents):
     bullets = BSD.format("", "").replace("1. ", "* ").replace("2. ", "* ")
     found = {r.doc_id: r.licenses for r in licenses.license_scan(documents(list(enumerate([*texts, bullets, MIT.replace("\n", "\r\n")])))).collect()}
     assert [found[k] for k in range(11)] == ["MIT", "GPL-3.0", "GPL-2.0", "GPL-2.0", "BSD-2-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "Apache-2.0", "BSD-2-Clause", "MIT"]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("This project is licensed under the MIT License.", "MIT"), ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("MIT OR Apache-2.0", "Apache-2.0,MIT"), ("It is free. Licensed under the GNU Lesser General Public License, version 2.1 or later", "LGPL-2.1"),
+        ("This program is distributed under the terms of the GNU AGPL v3.", "AGPL-3.0"), ("The text is available under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-4.0"), ("Distributed under the terms of the Apache License 2.0.", "Apache-2.0"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later", "Apache-2.0,GPL-2.0,MIT"), ("x " * 2000 + "released under the ISC license " + "y " * 2000, "ISC"), ("The road is covered by snow and ice.", ""), ("Used by the mit students", ""), ("mit or without", ""), ("", ""), (None, ""),
+    ],
+)
+def test_notices_and_expressions(documents, text, expected):
+    assert licenses.license_scan(documents([(1, text)])).first().licenses == expected
