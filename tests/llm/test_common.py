@@ -1,0 +1,36 @@
+import re
+
+import pytest
+
+from sparkloom.llm import common
+
+
+def resident(pid):
+    """MB of a process's own pages."""
+    with open(f"/proc/{pid}/status") as lines:
+        return int(re.search(r"RssAnon:\s+(\d+)", lines.read())[1]) / 1024
+
+
+def test_staging_gives_back_what_the_driver_has_freed(spark):
+    if common.trim(spark) is None:
+        pytest.skip("this JVM can't trim its native heap")
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    rows = spark.range(10)
+    assert common.stage(rows, "test").count() == 10
+    deflaters = [jvm.java.util.zip.Deflater() for _ in range(2000)]  # each holds over 100 KB outside the heap
+    held = resident(pid)
+    for k, x in enumerate(deflaters):
+        if k % 50:  # the others stay, so that the C library keeps what lies between them
+            x.end()
+    assert resident(pid) > held - 50
+    staged = common.stage(rows, "test")
+    assert resident(pid) < held - 100
+    assert sorted(r.id for r in staged.collect()) == list(range(10))
+    common.release(staged)
+
+
+def test_a_jvm_without_the_command_is_left_as_it_is(spark, monkeypatch):
+    monkeypatch.setattr(common, "TRIM", "noSuchCommand")
+    assert common.trim(spark) is None
+    assert common.stage(spark.range(3), "test").count() == 3
